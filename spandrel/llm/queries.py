@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spandrel.llm.docpairs import documented_functions
 from spandrel.llm.encode import encode_corpus
 from spandrel.llm.handwritten import not_handwritten
+from spandrel.llm.syntax import error_rates, unparsable
 from spandrel.tables import table
 
 
@@ -20,6 +21,19 @@ def p3_reasons(spark: SparkSession, d: str) -> DataFrame:
     return not_handwritten(table(spark, d, "files"), table(spark, d, "entities"), table(spark, d, "upstream_files"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return unparsable(table(spark, d, "files")).select("path")
+
+
+def p4_errors(spark: SparkSession, d: str) -> DataFrame:
+    """path, repo, language, cost, lines, why of every file that does not parse."""
+    return unparsable(table(spark, d, "files"))
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    return error_rates(table(spark, d, "files"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return documented_functions(table(spark, d, "files"), table(spark, d, "entities")).select("path", "name")
 
@@ -40,5 +54,5 @@ def p7_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return n.join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_reasons, p6_found, p6_pairs, p7_ids, p7_token_counts)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_reasons, p4_found, p4_errors, p4_rates, p6_found, p6_pairs, p7_ids, p7_token_counts)}
 ORACLE: dict[str, str] = {}
