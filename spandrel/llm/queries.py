@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spandrel.llm.docpairs import documented_functions
 from spandrel.llm.encode import encode_corpus
 from spandrel.llm.handwritten import not_handwritten
+from spandrel.llm.leaks import leaked
 from spandrel.llm.syntax import error_rates, unparsable
 from spandrel.tables import table
 
@@ -54,5 +55,14 @@ def p7_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return n.join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_reasons, p4_found, p4_errors, p4_rates, p6_found, p6_pairs, p7_ids, p7_token_counts)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked(table(spark, d, "documents"), table(spark, d, "instances"))
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """instance_id, docs: the items that leaked, with the number of documents."""
+    return p8_found(spark, d).groupBy("instance_id").agg(F.count("*").alias("docs"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_reasons, p4_found, p4_errors, p4_rates, p6_found, p6_pairs, p7_ids, p7_token_counts, p8_found, p8_items)}
 ORACLE: dict[str, str] = {}
