@@ -9,6 +9,7 @@ from spandrel.llm.docpairs import documented_functions
 from spandrel.llm.encode import encode_corpus
 from spandrel.llm.handwritten import not_handwritten
 from spandrel.llm.leaks import leaked
+from spandrel.llm.subjects import main_subjects
 from spandrel.llm.syntax import error_rates, unparsable
 from spandrel.tables import table
 
@@ -64,5 +65,14 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return p8_found(spark, d).groupBy("instance_id").agg(F.count("*").alias("docs"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_reasons, p4_found, p4_errors, p4_rates, p6_found, p6_pairs, p7_ids, p7_token_counts, p8_found, p8_items)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return main_subjects(table(spark, d, "documents"), table(spark, d, "subjects"), table(spark, d, "labels")).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    """subject, docs: documents by main subject."""
+    return p9_found(spark, d).groupBy("subject").agg(F.count("*").alias("docs"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_reasons, p4_found, p4_errors, p4_rates, p6_found, p6_pairs, p7_ids, p7_token_counts, p8_found, p8_items, p9_found, p9_composition)}
 ORACLE: dict[str, str] = {}
