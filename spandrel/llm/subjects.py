@@ -18,8 +18,8 @@ from spandrel.session import Scratch
 SPACE = 1 << 18  # hashed terms
 DIMS = 256  # of a document vector
 DEPTH = 5  # levels of bisection: up to 32 leaves
-ROUNDS = 3  # passes of 2-means at each level
-REFINE = 3  # passes that sharpen term weights by segments
+ROUNDS = 2  # passes of 2-means at each level
+REFINE = 2  # passes that sharpen term weights by segments
 LEAST = 0.2  # "about a quarter": headings and boilerplate dilute a quarter of the prose to some .22 of all characters
 MAX_LABELS = 50_000  # labelled documents used; a bounded sample of hand-given labels, the smallest ids first
 _BLOCK = 1 << 15
@@ -55,8 +55,8 @@ class Reader:
         self.known: dict[str, list[int]] = {}
         self.names: dict[int, str] = {}
 
-    def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Slots in order, and (terms, characters) of each segment."""
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Slots in order, (terms, characters) of each segment, and (slot, count) of each distinct slot."""
         ids: list[int] = []
         sizes: list[int] = []
         known = self.known
@@ -74,10 +74,11 @@ class Reader:
                         self.names.setdefault(slot(t), t)
                 ids += got
             sizes += (len(ids) - before, len(segment))
-        return np.array(ids, np.int32), np.array(sizes, np.int32)
+        flat = np.array(ids, np.int32)
+        return flat, np.array(sizes, np.int32), np.stack(np.unique(flat, return_counts=True), 1).astype(np.int32)
 
 
-_READ = "doc_id long, terms binary, segments binary"
+_READ = "doc_id long, terms binary, segments binary, bag binary"
 
 
 def _read(documents: DataFrame) -> DataFrame:
@@ -85,7 +86,7 @@ def _read(documents: DataFrame) -> DataFrame:
         reader = Reader()
         for b in batches:
             rows = [reader.read(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t.tobytes() for t, _ in rows], pa.binary()), pa.array([s.tobytes() for _, s in rows], pa.binary())], ["doc_id", "terms", "segments"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i].tobytes() for r in rows], pa.binary()) for i in range(3))], ["doc_id", "terms", "segments", "bag"])
 
     return documents.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _READ)
 
@@ -140,34 +141,47 @@ def _sums(df: DataFrame, fold: Callable[[pa.RecordBatch], np.ndarray], size: int
     return out[:size]
 
 
+def _bags(b: pa.RecordBatch, column: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc, slot, count of a column of bags."""
+    rows = [np.frombuffer(x, np.int32).reshape(-1, 2) for x in b.column(column).to_pylist()]
+    flat = np.concatenate([*rows, np.zeros((0, 2), np.int32)])
+    return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), flat[:, 0], flat[:, 1]
+
+
 def _document_frequency(b: pa.RecordBatch) -> np.ndarray:
-    x = _unpack(b)
-    pairs = np.unique(x.doc.astype(np.int64) * SPACE + x.term)
-    out = np.bincount(pairs % SPACE, minlength=SPACE + 1).astype(float)
+    out = np.bincount(_bags(b)[1], minlength=SPACE + 1).astype(float)
     out[SPACE] = b.num_rows
     return out
 
 
-def _vectors(x: Batch, weight: np.ndarray, n: int) -> np.ndarray:
+def _vectors(bags: tuple[np.ndarray, np.ndarray, np.ndarray], weight: np.ndarray, n: int) -> np.ndarray:
     """Normalised document vectors: logarithmic counts times ``weight`` of each term, hashed with a sign to DIMS."""
-    pairs, count = np.unique(x.doc.astype(np.int64) * SPACE + x.term, return_counts=True)
-    term = pairs % SPACE
+    doc, term, count = bags
     w = weight[term] * (1 + np.log(count))
-    mixed = (term * 2654435761) & 0xFFFFFFFF
+    mixed = (term.astype(np.int64) * 2654435761) & 0xFFFFFFFF
     w = np.where(mixed & 1, w, -w)
-    out = np.bincount(pairs // SPACE * DIMS + (mixed >> 8) % DIMS, w, n * DIMS).reshape(n, DIMS)
+    out = np.bincount(doc * DIMS + (mixed >> 8) % DIMS, w, n * DIMS).reshape(n, DIMS)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
 def _leaves(v: np.ndarray, tree: list[np.ndarray]) -> np.ndarray:
     """Leaf of each vector: at every level the nearer of the two centres of its node."""
-    leaf = np.zeros(len(v), np.int64)
+    leaf, row = np.zeros(len(v), np.int64), np.arange(len(v))
     for centres in tree:
-        pair = centres[leaf]
-        leaf = leaf * 2 + (np.einsum("nd,nd->n", v, pair[:, 1]) > np.einsum("nd,nd->n", v, pair[:, 0]))
+        leaf = leaf * 2 + ((v @ (centres[:, 1] - centres[:, 0]).T)[row, leaf] > 0)
     return leaf
 
 
+def _by_group(v: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """Sum of the rows of each group."""
+    order = np.argsort(group, kind="stable")
+    out = np.zeros((groups, v.shape[1]))
+    first = np.nonzero(np.diff(group[order], prepend=-1))[0]
+    if len(first):
+        out[group[order][first]] = np.add.reduceat(v[order], first, axis=0, dtype=float)
+    return out
+
+
 def bisect(vectors: DataFrame, depth: int = DEPTH, rounds: int = ROUNDS) -> list[np.ndarray]:
     """Centres (nodes, 2, DIMS) of each level of a bisecting k-means over the column ``v`` (int8), all documents.
 
@@ -188,13 +202,8 @@ def bisect(vectors: DataFrame, depth: int = DEPTH, rounds: int = ROUNDS) -> list
         def spread(b: pa.RecordBatch, done=done, start=start, nodes=nodes) -> np.ndarray:
             v = load(b)
             leaf = _leaves(v, done)
-            out = np.zeros((nodes, 2 * DIMS + 2))
-            np.add.at(out[:, :DIMS], leaf, v)
-            side = np.einsum("nd,nd->n", v, start[leaf])
-            np.add.at(out[:, DIMS : 2 * DIMS], leaf, v * side[:, None])
-            np.add.at(out[:, 2 * DIMS], leaf, 1)
-            np.add.at(out[:, 2 * DIMS + 1], leaf, side)
-            return out.ravel()
+            side = np.einsum("nd,nd->n", v, start[leaf])[:, None]
+            return _by_group(np.concatenate([v, v * side, np.ones_like(side), side], 1), leaf, nodes).ravel()
 
         got = _sums(vectors, spread, nodes * (2 * DIMS + 2)).reshape(nodes, -1)
         n = np.maximum(got[:, 2 * DIMS : 2 * DIMS + 1], 1)
@@ -207,13 +216,7 @@ def bisect(vectors: DataFrame, depth: int = DEPTH, rounds: int = ROUNDS) -> list
 
             def nearest(b: pa.RecordBatch, done=done, centres=centres.astype(np.float32), nodes=nodes) -> np.ndarray:
                 v = load(b)
-                leaf = _leaves(v, [*done, centres])
-                order = np.argsort(leaf, kind="stable")
-                out = np.zeros((2 * nodes, DIMS))
-                first = np.nonzero(np.diff(leaf[order], prepend=-1))[0]
-                if len(first):
-                    out[leaf[order][first]] = np.add.reduceat(v[order].astype(float), first, axis=0)
-                return out.ravel()
+                return _by_group(v, _leaves(v, [*done, centres]), 2 * nodes).ravel()
 
             got = _sums(vectors, nearest, 2 * nodes * DIMS).reshape(nodes, 2, DIMS)
             empty = np.linalg.norm(got, axis=2, keepdims=True) < 1e-9
@@ -227,18 +230,24 @@ class Model:
     """Term weights by subject, and what they came from."""
 
     subjects: list[str]
-    weight: np.ndarray  # (SPACE, subjects): logarithm of how much more often than elsewhere, 0 if not telling
+    place: np.ndarray  # (SPACE,): row of each slot among the vocabulary, -1 for none
+    weight: np.ndarray  # (vocabulary, subjects): logarithm of how much more often than elsewhere, 0 if not telling
     tree: list[np.ndarray]
     mixture: np.ndarray  # (leaves, subjects)
 
 
-def _segment_subject(x: Batch, weight: np.ndarray, floor: float) -> np.ndarray:
+def _segment_subject(x: Batch, place: np.ndarray, weight: np.ndarray, floor: float) -> np.ndarray:
     """Subject of each segment, -1 for none: the largest sum of weights, if it is clear."""
-    k = weight.shape[1]
-    hit = weight[x.term].any(axis=1)
-    score = np.zeros((len(x.chars), k))
-    np.add.at(score, x.segment[hit], weight[x.term[hit]])
-    return np.where(score.max(axis=1, initial=0) >= floor, score.argmax(axis=1) if k else 0, -1)
+    out = np.full(len(x.chars), -1)
+    telling = np.zeros(len(place), bool)
+    telling[place >= 0] = weight.any(axis=1)[place[place >= 0]]
+    hit = np.nonzero(telling[x.term])[0]
+    if len(hit):
+        segment = x.segment[hit]
+        first = np.nonzero(np.diff(segment, prepend=-1))[0]
+        score = np.add.reduceat(weight[place[x.term[hit]]], first, axis=0)
+        out[segment[first]] = np.where(score.max(axis=1) >= floor, score.argmax(axis=1), -1)
+    return out
 
 
 def fit(documents: DataFrame, subjects: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
@@ -246,18 +255,21 @@ def fit(documents: DataFrame, subjects: DataFrame, labels: DataFrame, scratch: S
     read = scratch.keep(_read(documents))
     rows = sorted((r[0], r[1] or "") for r in subjects.filter("subject is not null").select("subject", "description").distinct().collect())
     names = [n for n, _ in rows]
-    df = _sums(read, _document_frequency, SPACE + 1)
+    df = _sums(read.select("bag"), _document_frequency, SPACE + 1)
     n = max(df[SPACE], 1.0)
     df = df[:SPACE]
+    place = np.full(SPACE, -1, np.int32)
     idf = np.where((df >= max(3, n * 1e-4)) & (df <= 0.25 * n), np.log(n / np.maximum(df, 1)), 0.0)
+    size = int((idf > 0).sum())
+    place[idf > 0] = np.arange(size)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = _vectors(_unpack(b), idf, b.num_rows)
+            v = _vectors(_bags(b), idf, b.num_rows)
             q = np.clip(np.rint(v * 250), -127, 127).astype(np.int8)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in q], pa.binary())], ["v"])
 
-    tree = bisect(scratch.keep(read.mapInArrow(vectors, "v binary")))
+    tree = bisect(scratch.keep(read.select("bag").mapInArrow(vectors, "v binary")))
     leaves = 1 << len(tree)
 
     # terms of each leaf, and the subjects that labelled documents of a leaf have
@@ -271,23 +283,23 @@ def fit(documents: DataFrame, subjects: DataFrame, labels: DataFrame, scratch: S
     k = len(names)
 
     def by_leaf(b: pa.RecordBatch) -> np.ndarray:
-        x = _unpack(b)
-        leaf = _leaves(np.rint(_vectors(x, idf, b.num_rows) * 250).astype(np.float32), tree)
-        out = np.bincount(leaf[x.doc] * SPACE + x.term, minlength=leaves * SPACE).astype(float)
+        doc, term, n_ = bags = _bags(b, 1)
+        leaf = _leaves(np.rint(_vectors(bags, idf, b.num_rows) * 250).astype(np.float32), tree)
+        keep = place[term] >= 0
+        out = np.bincount(leaf[doc[keep]] * size + place[term[keep]], n_[keep], leaves * size)
         votes = np.zeros((leaves, k))
-        for row, i in enumerate(x.ids):
+        for row, i in enumerate(b.column(0).to_pylist()):
             for s in known.get(i, ()):
                 votes[leaf[row], s] += 1
         return np.concatenate([out, votes.ravel()])
 
-    got = _sums(read, by_leaf, leaves * SPACE + leaves * k)
-    count, votes = got[: leaves * SPACE].reshape(leaves, SPACE), got[leaves * SPACE :].reshape(leaves, k)
-    count *= idf > 0
+    got = _sums(read.select("doc_id", "bag"), by_leaf, leaves * size + leaves * k)
+    count, votes = got[: leaves * size].reshape(leaves, size), got[leaves * size :].reshape(leaves, k)
     # a leaf is about a subject as far as the description's discriminative terms come up in it, measured against
     # the leaf where they come up most; a leaf where none does is about nothing
     total = np.maximum(count.sum(1, keepdims=True), 1)
     lift = count / total / np.maximum(count.sum(0) / max(count.sum(), 1), 1e-12)
-    seeds = [{slot(t) for w in _TOKEN.findall(text) for t in terms(w) if 0 < df[slot(t)] <= 0.25 * n} for _, text in rows]
+    seeds = [{int(place[slot(t)]) for w in _TOKEN.findall(text) for t in terms(w)} - {-1} for _, text in rows]
     shared = {t for i, a in enumerate(seeds) for b in seeds[i + 1 :] for t in a & b}
     evidence = np.zeros((leaves, k))
     for i, own in enumerate(seeds):
@@ -306,12 +318,13 @@ def fit(documents: DataFrame, subjects: DataFrame, labels: DataFrame, scratch: S
 
         def by_segment(b: pa.RecordBatch, weight=weight) -> np.ndarray:
             x = _unpack(b)
-            subject = _segment_subject(x, weight, 1.0)[x.segment]
-            return np.bincount(x.term.astype(np.int64) + SPACE * (subject + 1), minlength=SPACE * (k + 1)).astype(float)
+            subject = _segment_subject(x, place, weight, 1.0)[x.segment]
+            at = place[x.term]
+            return np.bincount((at + size * (subject + 1))[at >= 0], minlength=size * (k + 1)).astype(float)
 
-        own = _sums(read, by_segment, SPACE * (k + 1)).reshape(k + 1, SPACE) * (idf > 0)
+        own = _sums(read.select("doc_id", "terms", "segments"), by_segment, size * (k + 1)).reshape(k + 1, size)
         weight = _weights(own[1:], own.sum(0), 3.0)
-    return Model(names, weight, tree, mixture), read
+    return Model(names, place, weight, tree, mixture), read
 
 
 def _weights(own: np.ndarray, total: np.ndarray, least: float) -> np.ndarray:
@@ -331,7 +344,7 @@ def subject_shares(documents: DataFrame, subjects: DataFrame, labels: DataFrame)
     256 signed hash buckets, normalised) are clustered by bisecting k-means over all documents, 5 levels deep.
     3. A leaf's mixture of subjects comes from those of its discriminative terms that the subjects' descriptions
     name, and from at most 50,000 labelled documents. 4. Terms get weights by subject through the mixtures of the
-    leaves they occur in, sharpened in three passes over segments; a segment belongs to the subject with the
+    leaves they occur in, sharpened in two passes over segments; a segment belongs to the subject with the
     largest sum of weights, or to none.
 
     Nothing but sums over terms and centres, whose size doesn't depend on the corpus, comes to the driver.
@@ -344,13 +357,13 @@ def subject_shares(documents: DataFrame, subjects: DataFrame, labels: DataFrame)
     if subjects.filter("subject is not null").isEmpty():
         return documents.sparkSession.createDataFrame([], "doc_id long, subject string, share double")
     model, read = fit(documents, subjects, labels, scratch)
-    names, weight = model.subjects, documents.sparkSession.sparkContext.broadcast(model.weight)
+    names, known = model.subjects, documents.sparkSession.sparkContext.broadcast((model.place, model.weight))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(names)
         for b in batches:
             x = _unpack(b)
-            subject = _segment_subject(x, weight.value, 1.0)
+            subject = _segment_subject(x, *known.value, 1.0)
             share = np.zeros((b.num_rows, k))
             at = subject >= 0
             np.add.at(share, (x.segment_doc[at], subject[at]), x.chars[at])
@@ -358,7 +371,7 @@ def subject_shares(documents: DataFrame, subjects: DataFrame, labels: DataFrame)
             row, col = np.nonzero(share)
             yield pa.RecordBatch.from_arrays([pa.array([x.ids[r] for r in row], pa.int64()), pa.array([names[c] for c in col], pa.string()), pa.array(share[row, col])], ["doc_id", "subject", "share"])
 
-    return read.mapInArrow(run, "doc_id long, subject string, share double").groupBy("doc_id", "subject").agg(F.avg("share").alias("share"))
+    return read.select("doc_id", "terms", "segments").mapInArrow(run, "doc_id long, subject string, share double").groupBy("doc_id", "subject").agg(F.avg("share").alias("share"))
 
 
 def main_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFrame, least: float = LEAST) -> DataFrame:
