@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from spandrel.session import Scratch, shuffle_partitions
 from spandrel.tables import in_force, target_key
 
-_SEP, _NO_KIND = "\u001f", "\u0000"
+_SEP, _NO_KIND = "\u001f", "\u0001"
 _BLOCK = "block int, keys array<string>, counts array<long>"
 
 
@@ -68,10 +68,11 @@ def _split_counts(blocks: int):
 
 def _sum_block(rows: pd.DataFrame) -> pd.DataFrame:
     """Add one block's arrays of all splits into one dense array."""
-    codes, names = pd.factorize(np.concatenate([np.asarray(k, object) for k in rows["keys"]]), use_na_sentinel=False)
-    total = np.zeros(len(names), np.int64)
+    slot: dict[str | None, int] = {}
+    codes = [slot.setdefault(k, len(slot)) for keys in rows["keys"] for k in keys]
+    total = np.zeros(len(slot), np.int64)
     np.add.at(total, codes, np.concatenate(list(rows["counts"])))
-    return pd.DataFrame({"key": [None if pd.isna(k) else k for k in names], "n": total})
+    return pd.DataFrame({"key": list(slot), "n": total})
 
 
 def key_counts(edges: DataFrame, blocks: int | None = None) -> DataFrame:
