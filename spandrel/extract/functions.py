@@ -119,7 +119,7 @@ def python_functions(text: str) -> list[Function]:
             if colon:
                 if d := _PY_DOC.match(text, colon.end()):
                     docs.append(("docstring", next(g for g in d.groups() if g is not None)))
-                body = not re.compile(r"\s*\.\.\.\s*(?:\n|\Z)").match(text, colon.end())
+                body = not re.compile(r"\s*\.\.\.\s*(?:\n|\r|\Z)").match(text, d.end() if d else colon.end())
         if (above := _above(lines, i, "#", "#!")) is not None:
             docs.append(above)
         out.append(Function(name, i + 1, params, tuple(docs), body))
