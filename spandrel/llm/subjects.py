@@ -237,7 +237,11 @@ class Model:
 
 
 def _segment_subject(x: Batch, place: np.ndarray, weight: np.ndarray, floor: float) -> np.ndarray:
-    """Subject of each segment, -1 for none: the largest sum of weights, if it is clear."""
+    """Subject of each segment, -1 for none: the largest sum of weights, if it is clear.
+
+    Words of several subjects are read as the document's own: sums count by half, and up to as much again as the
+    document's mixture has of the subject.
+    """
     out = np.full(len(x.chars), -1)
     telling = np.zeros(len(place), bool)
     telling[place >= 0] = weight.any(axis=1)[place[place >= 0]]
@@ -246,7 +250,13 @@ def _segment_subject(x: Batch, place: np.ndarray, weight: np.ndarray, floor: flo
         segment = x.segment[hit]
         first = np.nonzero(np.diff(segment, prepend=-1))[0]
         score = np.add.reduceat(weight[place[x.term[hit]]], first, axis=0)
-        out[segment[first]] = np.where(score.max(axis=1) >= floor, score.argmax(axis=1), -1)
+        clear = score.max(axis=1) >= floor
+        owner = x.segment_doc[segment[first]]
+        start = np.nonzero(np.diff(owner, prepend=-1))[0]
+        mixture = np.add.reduceat(score, start, axis=0)
+        mixture /= mixture.sum(axis=1, keepdims=True)
+        score *= 0.5 + np.repeat(mixture, np.diff(np.append(start, len(owner))), axis=0)
+        out[segment[first]] = np.where(clear, score.argmax(axis=1), -1)
     return out
 
 
@@ -259,7 +269,7 @@ def fit(documents: DataFrame, subjects: DataFrame, labels: DataFrame, scratch: S
     n = max(df[SPACE], 1.0)
     df = df[:SPACE]
     place = np.full(SPACE, -1, np.int32)
-    idf = np.where((df >= max(3, n * 1e-4)) & (df <= 0.25 * n), np.log(n / np.maximum(df, 1)), 0.0)
+    idf = np.where((df >= max(3, n * 1e-4)) & (df <= 0.5 * n), np.log(n / np.maximum(df, 1)), 0.0)
     size = int((idf > 0).sum())
     place[idf > 0] = np.arange(size)
 
