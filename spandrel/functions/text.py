@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 # What makes a path a test, what directories hold no candidate sources, and what ends a reference.
 TEST_DIRS = ("tests", "test", "testing")
 SKIP_DIRS = (
-    ".git", ".venv", "venv", "node_modules", "__pycache__", ".tox", "build", "dist", ".codepulse", ".mypy_cache",
-    ".pytest_cache", "site-packages", "doc", "docs", "examples", "benchmarks",
+    ".git", ".venv", "venv", "node_modules", "__pycache__", ".tox", "build", "dist", ".mypy_cache", ".pytest_cache",
+    "site-packages", "doc", "docs", "examples", "benchmarks",
 )
 LONGEST_REFERENCE = 1024
 

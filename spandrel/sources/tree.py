@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spandrel.extract.languages import BUILT_IN, Language, language_of
 from spandrel.functions.text import SKIP_DIRS, in_dirs, is_test_path
 
-EXCLUDED = frozenset((*SKIP_DIRS[:11], ".hg", ".svn", ".idea", ".vscode", ".eggs", ".cache"))
+EXCLUDED = frozenset((*SKIP_DIRS[:10], ".hg", ".svn", ".idea", ".vscode", ".eggs", ".cache"))
 IGNORE_FILE = ".spandrelignore"
 
 
