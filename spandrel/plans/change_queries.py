@@ -181,6 +181,11 @@ select distinct path, case when m like '%resource%' and regexp_matches(m, '^\s*r
     "x_html_references": """select distinct path as src_path, sha256(trim(unnest(regexp_extract_all(content, '(?i)\\b(?:src|href)\\s*=\\s*"([^"]*)"', 1)))) as target_hash from files where path like '%.html' and content is not null""",
     "x_copies": """with l as (select path, unnest(string_split_regex(content, '\\r\\n|\\n|\\r')) as l from files where content is not null and (string_split(path, '/')[-1] like 'Dockerfile%' or path like '%.dockerfile'))
 select distinct path as src_path, unnest(string_split_regex(trim(l), '\\s+')[2:-2]) as target from l where regexp_matches(l, '(?i)^\\s*COPY\\s')""",
+    "d_patch_lines": r"""with l as (select instance_id as id, unnest(string_split(patch, chr(10))) as l, regexp_extract(patch, '(?m)^\+\+\+ b/(.*)$', 1) as path from (select distinct instance_id, patch from instances where patch is not null))
+select id, path, 'modified' as status, count(*) filter (l like '-%' and l not like '--- %') as old_lines, count(*) filter (l like '+%' and l not like '+++ %') as new_lines from l group by 1, 2""",
+    "d_patch_runs": r"""with p as (select distinct instance_id as id, regexp_extract(patch, '(?m)^\+\+\+ b/(.*)$', 1) as path, regexp_extract(patch, '(?m)^@@ -\d+(?:,\d+)? \+(\d+)', 1)::int as start, string_split(regexp_extract(patch, '(?s)\n@@[^\n]*\n(.*)$', 1), chr(10)) as body from instances where patch is not null),
+b as (select id, path, start, unnest(body) as l, generate_subscripts(body, 1) as i from p), n as (select *, start - 1 + sum(case when l like '-%' then 0 else 1 end) over (partition by id order by i) as line from b),
+a as (select id, path, line from n where l like '+%'), k as (select *, line - row_number() over (partition by id, path order by line) as g from a) select id, path, min(line)::int as first, max(line)::int as last from k group by id, path, g""",
     "d_runs": "with l as (select distinct path, line from entities where removed_at is null and line is not null), i as (select *, line - row_number() over (partition by path order by line) as k from l) select path, min(line) as first, max(line) as last from i group by path, k",
     "d_overlap": """with l as (select distinct l_orderkey, l_linenumber * 30 as line from lineitem), i as (select *, line - row_number() over (partition by l_orderkey order by line) as k from l),
 r as (select l_orderkey, min(line) as first, max(line) + 10 as last from i group by l_orderkey, k), s as (select distinct l_orderkey, l_linenumber * 20 as start, l_linenumber * 20 + 15 as stop from lineitem)

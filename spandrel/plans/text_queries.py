@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spandrel.functions import text as T
+from spandrel.operators import arms as A
 from spandrel.operators import evaluate as E
 from spandrel.operators import graph as G
 from spandrel.operators import retrieval as R
@@ -145,6 +146,13 @@ def t_interval(spark: SparkSession, d: str) -> DataFrame:
     return E.paired_interval(a.unionByName(b), "bm25", "control", "mrr")
 
 
+def t_arms(spark: SparkSession, d: str) -> DataFrame:
+    """Averages of all six arms over the instances."""
+    c = A.Corpus(table(spark, d, "files"), table(spark, d, "entities"), table(spark, d, "edges"), _queries(spark, d))
+    got = E.macro(A.run(c, _truth(spark, d), ks=(1, 5, 10)).drop("query"), "arm")
+    return got.select([F.col(f"`{x}`").alias(x.replace("@", "_at_")) for x in got.columns])
+
+
 def t_stratified(spark: SparkSession, d: str) -> DataFrame:
     """Sixty instances, taken from the repositories in turn."""
     return E.stratified(table(spark, d, "instances").select("instance_id", "repo").distinct(), "repo", "instance_id", 60)

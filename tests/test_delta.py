@@ -2,6 +2,7 @@
 
 import difflib
 import random
+import subprocess
 
 import pytest
 from hypothesis import given, settings
@@ -88,3 +89,23 @@ def test_truth_of_a_patch(spark):
     diffs = spark.createDataFrame([("i", diff_of(BASE["billing.py"], HEAD["billing.py"], "billing.py")), ("none", None)], "id string, diff string")
     base = spark.createDataFrame([("i", p, c) for p, c in BASE.items()], "id string, path string, content string")
     assert {(r.path, r.name) for r in D.truth(diffs, base).collect()} == {("billing.py", "total"), ("billing.py", "legacy")}
+
+
+def test_applying_agrees_with_git(tmp_path):
+    rng = random.Random(11)
+    for k in range(12):
+        old = [f"line {rng.randrange(6)}" for _ in range(rng.randrange(5, 40))]
+        new = [x for x in old if rng.random() > 0.15] + ["end"]
+        for _ in range(3):
+            new.insert(rng.randrange(len(new)), f"new {rng.randrange(9)}")
+        a, b = "\n".join(old) + "\n", "\n".join(new) + "\n"
+        text = diff_of("\n".join(old), "\n".join(new), "f.txt", rng.choice([1, 3, 5]))
+        (tmp_path / "f.txt").write_text(a)
+        (tmp_path / "p.diff").write_text(text)
+        subprocess.run(["git", "apply", "--unsafe-paths", "p.diff"], cwd=tmp_path, check=True)
+        assert (tmp_path / "f.txt").read_text() == P.apply(a, P.parse(text)[0]) == b, k
+
+
+def test_diffs_without_tests():
+    both = diff_of("a\n", "b\n", "src/x.py") + diff_of("a\n", "b\n", "tests/test_x.py")
+    assert P.without_tests(both, lambda p: p.startswith("tests/")) == diff_of("a\n", "b\n", "src/x.py")

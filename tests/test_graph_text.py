@@ -152,3 +152,25 @@ def test_metrics(spark):
     arms = spark.createDataFrame([("x", 0.5), ("y", 0.4)], "arm string, mrr double")
     assert [r.text for r in E.verdicts(arms, "mrr", E.paired_interval(lead, "x", "y", "mrr", 200)).orderBy("rank").collect()] == ["leads", "behind"]
     assert E.verdicts(arms, "mrr").orderBy("rank").first().text == "ahead, not established"
+
+
+def test_arms_side_by_side(spark):
+    from spandrel.operators import arms as A
+
+    files = spark.createDataFrame([("r", f"r/m{i}.py", f"def task_{i}():\n    return step_{i}()\n") for i in range(6)] + [("q", "q/other.py", "x = 1")], "repo string, path string, content string")
+    ents = spark.createDataFrame([(f"r/m{i}.py", f"task_{i}", "function", 1, f"does task {i}", "docstring", None) for i in range(6)], "path string, name string, kind string, line int, meta string, doc_kind string, removed_at timestamp")
+    edges = spark.createDataFrame([(i, f"r/m{i}.py", f"task_{i}", "calls", f"r/m{(i + 1) % 6}.py", f"task_{(i + 1) % 6}", None, 1, "ok") for i in range(6)], LINK + ", status string")
+    queries = spark.createDataFrame([("r", "q1", "task_3 fails in `task_3`")], "space string, query string, text string")
+    truth = spark.createDataFrame([("q1", "r/m3.py")], "query string, doc string")
+    c = A.Corpus(files, ents, edges, queries)
+    got = {r.arm: r.mrr for r in A.run(c, truth, ks=(1, 3)).collect()}
+    assert got.keys() == A.ARMS.keys() and all(got[a] == 1.0 for a in ("bm25", "map", "walk", "hybrid", "hybrid_walk"))
+    for bad in (["bm25"], ["bm25", "nope"]):
+        with pytest.raises(ValueError):
+            A.run(c, truth, bad)
+    configs = A.grid(rounds=[1, 2], seed_top=[5])
+    assert len(configs) == 2 and len(A.grid(a=[1, 2, 3], b=[1, 2], c=[1, 2, 3], d=[1, 2, 3])) == 54
+    tuned = A.tune(c, truth, configs).collect()
+    assert len(tuned) == 2 and tuned[0].value == 1.0 and len(tuned[0].fingerprint) == 12
+    with pytest.raises(ValueError, match="reporting"):
+        A.tune(c, truth, configs, dataset="final", reporting=frozenset({"final"}))
