@@ -15,54 +15,49 @@ from spandrel.session import Scratch, shuffle_partitions
 from spandrel.tables import in_force, target_key
 
 _SEP, _NO_KIND = "\u001f", "\u0001"
+_KEYS = 500_000  # keys that a split remembers before it hands its counts on
 _BLOCK = "block int, keys array<string>, counts array<long>"
 
 
 def _split_counts(blocks: int):
-    """One input split -> its counts per key, as arrays per block of keys."""
+    """One input split, sorted by id, latest delivery and key -> its counts per key, as arrays per block of keys."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot: dict[str | None, int] = {}
-        ids, codes, loaded = [], [], []
-        for batch in batches:
-            # dictionary-encode the batch, then map its few distinct keys to the split's dictionary
-            key = batch.column(1).dictionary_encode()
-            local = [slot.setdefault(k, len(slot)) for k in key.dictionary.to_pylist()]
-            nulls = slot.setdefault(None, len(slot)) if key.indices.null_count else -1
-            at = key.indices.fill_null(len(local)).to_numpy(zero_copy_only=False)
-            codes.append(np.array([*local, nulls], np.int64)[at])
-            # rows with a null id cannot repeat one another: each is its own record
-            ids.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
-            loaded.append(np.where(batch.column(0).is_null().to_numpy(zero_copy_only=False), -1, batch.column(2).fill_null(0).to_numpy(zero_copy_only=False)))
-        if not ids:
-            return
-        id_, code, load = map(np.concatenate, (ids, codes, loaded))
-        names = list(slot)
-        real, known = np.nonzero(load >= 0)[0], load >= 0
-        order = real[np.lexsort((-load[real], id_[real]))]
-        first = np.ones(len(order), bool)
-        first[1:] = id_[order][1:] != id_[order][:-1]
-        # of rows that repeat an id the latest delivered stands; of equally late ones the smallest key
-        tie = np.nonzero(~first)[0]
-        for i in tie[code[order][tie] != code[order][tie - 1]]:
-            a = i
-            while not first[a]:
-                a -= 1
-            if load[order[i]] == load[order[a]] and (names[code[order[i]]] or "") < (names[code[order[a]]] or ""):
-                order[i], order[a] = order[a], order[i]
-        kept = np.concatenate([order[first], np.nonzero(~known)[0]])
-        counts = np.bincount(code[kept], minlength=len(names))
+    def pack(counts: dict[str, int]) -> pa.RecordBatch:
         out: dict[int, tuple[list, list]] = {}
-        for k, n in zip(names, counts.tolist()):
-            if n:
-                keys, ns = out.setdefault(zlib.crc32(k.encode()) % blocks if k is not None else 0, ([], []))
-                keys.append(k)
-                ns.append(n)
-        yield pa.RecordBatch.from_arrays(
+        for k, n in counts.items():
+            keys, ns = out.setdefault(zlib.crc32(k.encode()) % blocks, ([], []))
+            keys.append(k)
+            ns.append(n)
+        return pa.RecordBatch.from_arrays(
             [pa.array(list(out), pa.int32()), pa.array([k for k, _ in out.values()], pa.list_(pa.string())), pa.array([n for _, n in out.values()], pa.list_(pa.int64()))],
             ["block", "keys", "counts"],
         )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, int] = {}
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            # the first row of an id stands; rows with a null id, which come first, repeat none
+            fresh = np.ones(len(ids), bool)
+            fresh[1:] = (ids[1:] != ids[:-1]) | null[1:] | null[:-1]
+            fresh[0] = null[0] or last is None or ids[0] != last
+            last = last if null[-1] else ids[-1]
+            # dictionary-encode the batch and count its codes at once
+            key = batch.column(1).dictionary_encode()
+            codes = key.indices.to_numpy(zero_copy_only=False)
+            for k, n in zip(key.dictionary.to_pylist(), np.bincount(codes[fresh], minlength=len(key.dictionary)).tolist()):
+                if n:
+                    counts[k] = counts.get(k, 0) + n
+            if len(counts) > _KEYS:
+                yield pack(counts)
+                counts = {}
+        if counts:
+            yield pack(counts)
+
     return run
 
 
@@ -95,6 +90,7 @@ def key_counts(edges: DataFrame, blocks: int | None = None) -> DataFrame:
         F.greatest(F.unix_micros(F.col("loaded_at").cast("timestamp")), F.lit(0)).alias("loaded"),
     )
     spread = coded.repartition(F.xxhash64("id", F.when(F.col("id").isNull(), F.xxhash64("key", "loaded"))))
+    spread = spread.sortWithinPartitions("id", F.desc("loaded"), "key")
     parts = spread.mapInArrow(_split_counts(blocks), _BLOCK)
     summed = parts.groupBy("block").applyInPandas(_sum_block, "key string, n long")
     cut = F.split(F.col("key"), _SEP, 2)

@@ -53,6 +53,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/spandrel-{uuid.uuid4().hex}"
         self.made = 0
+        atexit.register(self.clear)  # results are read lazily, so what is left goes when the driver ends
 
     def keep(self, df: DataFrame, *partition_by: str) -> DataFrame:
         """``df`` written and read back."""
@@ -64,6 +65,14 @@ class Scratch:
         back._scratch_path = path
         return back
 
+    def clear(self) -> None:
+        """Delete everything that was kept, if the session still lives."""
+        try:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001 - the session has ended
+            pass
+
     def drop(self, *kept: DataFrame) -> None:
         """Delete tables that nothing will read any more."""
         jvm, hadoop = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
