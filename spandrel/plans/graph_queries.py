@@ -110,7 +110,7 @@ def g_package_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def g_tree(spark: SparkSession, d: str) -> DataFrame:
     """path, n, listing: the entities of each file in line order, as text."""
-    return G.tree(_nodes(spark, d)).select("path", F.size("entities").alias("n"), F.array_join(F.transform("entities", lambda e: e["name"]), ",").alias("listing"))
+    return G.tree(_nodes(spark, d)).select("path", F.size("entities").cast("long").alias("n"), F.array_join(F.transform("entities", lambda e: e["name"]), ",").alias("listing"))
 
 
 def g_find_tail(spark: SparkSession, d: str) -> DataFrame:

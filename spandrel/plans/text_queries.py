@@ -207,7 +207,7 @@ ORACLE = {
     "t_corpus_stats": f"with {_FILES}, {_STATS} select space, n, round(avg_len, 6) as avg_len from st",
     "t_document_frequency": f"with {_FILES}, {_STATS} select term, sum(df)::bigint as df, count(*) as spaces from dfs group by 1",
     "t_bm25": f"with {_BM25} select query, doc, round(score, 6) as score from b where rank <= 10",
-    "t_rare_coactivation": f"with {_PARTS}, {_BOOST} select query, doc, round(score * (1 + 0.6 * greatest(reached - 1, 0)), 6) as score, reached, terms from boost",
+    "t_rare_coactivation": f"with {_PARTS}, {_BOOST} select query, doc, round(score * (1 + 0.6 * greatest(reached - 1, 0)), 6) as score, reached::int as reached, terms from boost",
     "t_fusion": f"""with {_PARTS}, {_BOOST}, r as (select space, query, doc, row_number() over (partition by space, query order by score desc, doc) as rank from (select space, query, doc, round(sum(part), 6) as score from parts group by 1, 2, 3)
 union all select space, query, doc, row_number() over (partition by space, query order by score desc, doc) from (select space, query, doc, round(score, 6) as score from boost))
 select query, doc, round(sum(1.0::double / (60 + rank)), 9) as score from r group by 1, 2""",
@@ -217,7 +217,7 @@ union all select distinct query, unnest(regexp_extract_all(text, '\\b([a-z][a-z0
 s as (select query, path, name, case when lower(name) = asked or lower(string_split(name, '.')[-1]) = asked then 6.0 when starts_with(lower(string_split(name, '.')[-1]), asked) then 3.0 else 0.0 end
   + coalesce(list_sum(list_transform(terms, lambda x: case when contains(replace(replace(lower(name), '_', ' '), '.', ' '), x) then 2.0 else 0.0 end + case when contains(lower(path), x) then 1.0 else 0.0 end + case when contains(lower(coalesce(meta, '')), x) then 0.5 else 0.0 end)), 0) as score
   from n, t where name <> '<module>') select query, path, name, round(score, 2)::double as score from s where score > 0.9""",
-    "t_control": f"""with {_Q}, f as (select distinct repo as space, path as doc from files where not ({_TEST.format('path')})) select query, doc, row_number() over (partition by f.space, query order by sha256(query || chr(1) || doc) desc, doc) as rank from q join f on f.space = q.space""",
+    "t_control": f"""with {_Q}, f as (select distinct repo as space, path as doc from files where not ({_TEST.format('path')})) select query, doc, row_number() over (partition by f.space, query order by sha256(query || chr(1) || doc) desc, doc)::int as rank from q join f on f.space = q.space""",
     "t_scores": f"""with {_BM25}, {_TRUTH}, g as (select query, count(*) as truth_files from truth group by 1), m as (select b.query, b.doc, rank, truth.doc is not null as hit from b left join truth on truth.query = b.query and truth.doc = b.doc),
 s as (select g.query, truth_files, count(m.doc) as retrieved, min(rank) filter (hit) as first, count(*) filter (hit and rank <= truth_files) as within, count(*) filter (hit and rank <= 1) as h1, count(*) filter (hit and rank <= 5) as h5, count(*) filter (hit and rank <= 10) as h10 from g left join m on m.query = g.query group by 1, 2)
 select query, truth_files, retrieved, round(h1 / truth_files, 6) as recall_at_1, (h1 = truth_files)::int::double as all_found_at_1, round(h5 / truth_files, 6) as recall_at_5, (h5 = truth_files)::int::double as all_found_at_5,
