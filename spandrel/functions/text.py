@@ -12,6 +12,7 @@ SKIP_DIRS = (
     "site-packages", "doc", "docs", "examples", "benchmarks",
 )
 LONGEST_REFERENCE = 1024
+WORD, CAMEL = "([A-Za-z_][A-Za-z0-9_]*)", "([A-Z]+(?![a-z])|[A-Z][a-z0-9]*|[a-z0-9]+)"
 
 
 def tokens(text: Column) -> Column:
@@ -19,12 +20,12 @@ def tokens(text: Column) -> Column:
     there are several of two letters or more."""
 
     def parts(w: Column) -> Column:
-        camel = F.filter(F.regexp_extract_all(w, F.lit("([A-Z]+(?![a-z])|[A-Z][a-z0-9]*|[a-z0-9]+)"), F.lit(1)), lambda p: F.length(p) > 1)
+        camel = F.filter(F.regexp_extract_all(w, F.lit(CAMEL), F.lit(1)), lambda p: F.length(p) > 1)
         snake = F.filter(F.split(F.lower(w), "_"), lambda p: F.length(p) > 1)
         several = lambda a: F.when(F.size(a) > 1, F.transform(a, F.lower)).otherwise(F.array().cast("array<string>"))
         return F.concat(F.array(F.lower(w)), several(camel), several(snake))
 
-    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit("([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1)), parts))
+    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(1)), parts))
 
 
 def base_name(path: Column) -> Column:
