@@ -7,6 +7,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ Q = 20  # characters of a q-gram
 BAND = 48  # characters of a diagonal band; bands overlap by half
 LEAST_WORDS = 25  # words in a row that make a leak
 EDITS = 4  # word edits allowed among as many words
-MARGIN = LEAST_WORDS + 3  # matched words less edits that an alignment needs; near misses of the same phrasing stay below
+PHRASE = 3  # words of a run that makes common phrasing when SHARED_BY items hold it; all other words are an item's own, in which near misses differ
 SHARED_BY = 4  # items that hold a q-gram before it counts as shared text
 INDEX_BYTES = 256 << 20  # most text of all items together; the index is broadcast
 _WORD_BYTES = 5  # least mean length of the words of a leak, for the lemma's bound
@@ -60,6 +61,7 @@ class Index:
     items: list[str]  # instance of each text
     words: list[list[str]]
     shared: list[list[bool]]  # words in 12 words that 3 items hold, or 20 that 2 hold
+    own: list[list[bool]]  # words outside of runs of PHRASE words that SHARED_BY items hold
     starts: list[np.ndarray]  # byte at which each word starts
     keys: np.ndarray  # sorted q-gram hashes
     text: np.ndarray  # text of each posting
@@ -73,13 +75,16 @@ def build_index(items: list[tuple[str, list[str | None]]]) -> Index:
     texts = list(dict.fromkeys(x for x in texts if x[1]))
     holders12: dict[tuple, set] = defaultdict(set)
     holders20: dict[tuple, set] = defaultdict(set)
+    phrases: dict[tuple, set] = defaultdict(set)
     words = [t.split() for _, t in texts]
     for (name, _), ws in zip(texts, words):
         for i in range(len(ws) - 11):
             holders12[tuple(ws[i : i + 12])].add(name)
         for i in range(len(ws) - 19):
             holders20[tuple(ws[i : i + 20])].add(name)
-    shared = []
+        for i in range(len(ws) - PHRASE + 1):
+            phrases[tuple(ws[i : i + PHRASE])].add(name)
+    shared, own = [], []
     for ws in words:
         mask = [False] * len(ws)
         for size, holders, least in ((12, holders12, SHARED_BY - 1), (20, holders20, 2)):
@@ -87,6 +92,11 @@ def build_index(items: list[tuple[str, list[str | None]]]) -> Index:
                 if len(holders[tuple(ws[i : i + size])]) >= least:
                     mask[i : i + size] = [True] * size
         shared.append(mask)
+        mine = [True] * len(ws)
+        for i in range(len(ws) - PHRASE + 1):
+            if len(phrases[tuple(ws[i : i + PHRASE])]) >= SHARED_BY:
+                mine[i : i + PHRASE] = [False] * PHRASE
+        own.append(mine)
     raws = [np.frombuffer(t.encode(), np.uint8) for _, t in texts]
     grams = [_grams(r) for r in raws]
     all_keys = np.concatenate([*grams, np.zeros(0, np.uint64)])
@@ -102,43 +112,67 @@ def build_index(items: list[tuple[str, list[str | None]]]) -> Index:
     bits = np.zeros(1 << 22, bool)
     bits[(keys >> np.uint64(42)).astype(np.int64)] = True
     starts = [np.concatenate([[0], np.nonzero(r == 32)[0] + 1]) for r in raws]
-    return Index([n for n, _ in texts], words, shared, starts, keys, text, at, bits)
+    return Index([n for n, _ in texts], words, shared, own, starts, keys, text, at, bits)
 
 
-def _aligned(doc: list[str], item: list[str], free: list[bool], diagonal: int, width: int) -> bool:
-    """Whether a local alignment of words within ``width`` of a diagonal (doc minus item) reaches MARGIN.
+def _counted(item: list[str], shared: list[bool], own: list[bool]) -> tuple[dict[str, list[int]], list[int], list[int]]:
+    """Places of each word of an item; own words and words outside of shared text before each place."""
+    places: dict[str, list[int]] = defaultdict(list)
+    for j, w in enumerate(item):
+        places[w].append(j)
+    return dict(places), [0, *accumulate(own)], [0, *accumulate(not s for s in shared)]
 
-    A match counts 1 (0 in shared text), a replaced, missing or added word -1; LEAST_WORDS must match.
+
+def _aligned(doc: list[str], places: dict[str, list[int]], mine: list[int], free: list[int], diagonal: int, width: int) -> bool:
+    """Whether some span of LEAST_WORDS item words, words in shared text left out, is in ``doc`` with at most EDITS edits.
+
+    A replaced, missing or added word is an edit. Runs of equal words within ``width`` of a diagonal (doc minus item)
+    are chained. No part at either end of a span has more edits than matches, so a shorter quotation does not grow
+    by chance words beside it. Of the item's own words in the span no larger share, EDITS in LEAST_WORDS, may be edited.
     """
-    size = 2 * width + 1
-    score, match = [0] * (size + 2), [0] * (size + 2)
-    for i in range(max(0, diagonal - width), min(len(doc), len(item) + diagonal + width)):
-        word, new, hits = doc[i], [0] * (size + 2), [0] * (size + 2)
-        base = i - diagonal - width
-        for k in range(max(0, -base), min(size, len(item) - base)):
-            j = base + k
-            if word == item[j]:
-                s, m = score[k + 1] + (not free[j]), match[k + 1] + (not free[j])
-            else:
-                s, m = score[k + 1] - 1, match[k + 1]
-            if new[k] - 1 > s:
-                s, m = new[k] - 1, hits[k]
-            if score[k + 2] - 1 > s:
-                s, m = score[k + 2] - 1, match[k + 2]
-            if s > 0:
-                new[k + 1], hits[k + 1] = s, m
-                if s >= MARGIN and m >= LEAST_WORDS:
-                    return True
-        score, match = new, hits
+    runs: list[list[int]] = []  # first word in doc, first word in item, length
+    live: dict[int, list[int]] = {}
+    for i, w in enumerate(doc):
+        here = {}
+        for j in places.get(w, ()):
+            if abs(i - j - diagonal) <= width:
+                if (r := live.get(j - 1)) is None:
+                    runs.append(r := [i, j, 0])
+                r[2] += 1
+                here[j] = r
+        live = here
+    # ways that end with a run, by edits, edits not yet outweighed since the best point, and own words edited: the
+    # first item word and the matches less edits; of equal ways the longest is the best
+    near: list[tuple[int, int, dict[tuple[int, int, int], tuple[int, int]]]] = []
+    for i, j, n in runs:
+        near = [x for x in near if x[0] >= i - EDITS]
+        ways = {(0, 0, 0): (j, n)}
+        for i_end, j_end, before in near:
+            late = max(0, i_end - i, j_end - j)  # words of this run that the one before has used
+            gap = max(i + late - i_end, j + late - j_end)
+            if late >= n or gap > EDITS:
+                continue
+            lost = mine[j + late] - mine[j_end]
+            for (e, owed, o), (first, score) in before.items():
+                if e + gap <= EDITS and score >= gap:
+                    key, way = (e + gap, max(0, owed + gap - n + late), o + lost), (first, score - gap + n - late)
+                    if key not in ways or (way[0], -way[1]) < (ways[key][0], -ways[key][1]):
+                        ways[key] = way
+        end = j + n
+        for (_, owed, o), (first, _) in ways.items():
+            if not owed and free[end] - free[first] >= LEAST_WORDS and o * LEAST_WORDS <= EDITS * (mine[end] - mine[first]):
+                return True
+        near.append((i + n, end, ways))
     return False
 
 
 class Searcher:
     def __init__(self, index: Index):
         self.ix = index
+        self.counted: dict[int, tuple[dict[str, list[int]], list[int], list[int]]] = {}  # of the items looked at
         # the lemma: n bytes with e edits share at least n - Q + 1 - e * (Q + length of the edit) q-grams
         self.least = LEAST_WORDS * (_WORD_BYTES + 1) - Q + 1 - EDITS * (Q + _WORD_BYTES + 1)
-        self.cover = LEAST_WORDS * (_WORD_BYTES + 1) // 2
+        self.cover = self.least + Q - 1  # bytes under as many q-grams in one run
 
     def search(self, texts: list[str | None]) -> list[tuple[int, str]]:
         """(position in ``texts``, item) of every leak."""
@@ -169,7 +203,7 @@ class Searcher:
         for shift in (0, BAND // 2):
             band = (diagonal + shift + (1 << 20)) // BAND
             order = np.lexsort((pos, band, text, doc))
-            d, t, b, p = doc[order], text[order], band[order], pos[order]
+            d, t, b, p, diag = doc[order], text[order], band[order], pos[order], diagonal[order]
             new = np.ones(len(d), bool)
             new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (b[1:] != b[:-1])
             first = np.nonzero(new)[0]
@@ -182,7 +216,7 @@ class Searcher:
                 dd, tt = int(d[f]), int(t[f])
                 if ix.items[tt] in found[dd]:
                     continue
-                if self._verify(raw, ends, dd, tt, p[f : f + n], int(np.median(diagonal[order][f : f + n])), tried):
+                if self._verify(raw, ends, dd, tt, p[f : f + n], int(np.median(diag[f : f + n])), tried):
                     found[dd].add(ix.items[tt])
         return [(d, name) for d, names in found.items() for name in sorted(names)]
 
@@ -209,7 +243,9 @@ class Searcher:
             if key in tried:
                 continue
             tried.add(key)
-            if _aligned(words, item, self.ix.shared[text], before - inst, 14):
+            if text not in self.counted:
+                self.counted[text] = _counted(item, self.ix.shared[text], self.ix.own[text])
+            if _aligned(words, *self.counted[text], before - inst, 14):
                 return True
         return False
 
@@ -221,9 +257,11 @@ def leaked(documents: DataFrame, instances: DataFrame) -> DataFrame:
 
     All items against all documents: the items' q-grams are indexed and broadcast (their text is limited to 256 MB,
     which is checked), and every document is searched whole in one narrow pass. Shared q-grams are counted in
-    overlapping diagonal bands; what stays below the lemma's bound for 25 words with 4 edits is dropped, and the
-    rest is verified by a banded alignment of words. q-grams that 4 or more items hold, and words in passages that
-    several items hold, are shared text and count nothing.
+    overlapping diagonal bands; what stays below the lemma's bound for 25 words of 5 bytes with 4 edits is dropped,
+    and the rest is verified by a banded alignment of words: a leak is a span of at least 25 item words with at most
+    4 edits. q-grams that 4 or more items hold, and words in passages that several items hold, are shared text and
+    count nothing. Near misses repeat the phrasing of an item and differ in what it says: words outside of runs of
+    3 words that 4 or more items hold are an item's own, and of these too at most 4 in 25 may be edited.
 
     Defined results: null and empty texts have no leaks; items without text are ignored; rows that repeat a
     document or an item give one row; empty tables give no rows; other columns are ignored.

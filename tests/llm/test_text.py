@@ -86,6 +86,47 @@ def test_leaks_are_found_through_noise(spark):
     assert L.leaked(ds.limit(0), its).count() == 0 and L.leaked(ds, its.limit(0)).count() == 0
 
 
+def leaks_of(items, docs):
+    return {(d, n) for d, n in L.Searcher(L.build_index([(k, [" ".join(v), None]) for k, v in items.items()])).search([" ".join(d) for d in docs])}
+
+
+def test_leaks_at_the_stated_length():
+    items = {f"i{k}": [f"word{k}x{i}" for i in range(60)] for k in range(3)}
+    out = [f"filler{i}" for i in range(40)]
+    docs, want = [], set()
+    for n in (23, 24, 25, 26, 27, 28):
+        docs.append(out + items["i1"][10 : 10 + n] + out)
+        if n >= 25:
+            want.add((len(docs) - 1, "i1"))
+    for places, n in (((5, 10, 15, 20), 25), ((8, 9, 15, 17), 26), ((4, 8, 12, 16, 20), 25)):
+        few = list(items["i2"][7 : 7 + n])
+        for p in places:
+            few[p] = "changed"
+        docs.append(out + few + out)
+        if len(places) <= L.EDITS:
+            want.add((len(docs) - 1, "i2"))
+    gap = items["i0"][3:12] + items["i0"][14:20] + ["one", "more"] + items["i0"][20:28]  # two missing, two added
+    docs.append(out + gap + out)
+    want.add((len(docs) - 1, "i0"))
+    docs.append(out + items["i0"][10:31] + ["a", "b", "c", "d", items["i0"][35]] + out)  # 21 words and a chance word
+    assert leaks_of(items, docs) == want
+
+
+def test_leaks_are_told_from_the_same_phrasing():
+    def say(*own):
+        a, b, c, d, e = own
+        return f"please check {a} again because the nightly import of every {b} has stopped and then move {c} next to the other parts before you restart {d} with all of the old settings for {e}".split()
+
+    items = {f"i{k}": [f"intro{k}"] * 3 + say(*(f"own{k}{x}" for x in "abcde")) + [f"outro{k}"] * 3 for k in range(6)}
+    near = say("own1a", "blue", "green", "grey", "own1e")
+    leak = say("own2a", "own2b", "own2c", "grey", "own2e")
+    ix = L.build_index([(k, [" ".join(v)]) for k, v in items.items()])
+    assert ix.own[0].count(False) > 20
+    free = [False] * len(items["i1"])
+    assert not L._aligned(near, *L._counted(items["i1"], free, ix.own[1]), -3, 14)
+    assert L._aligned(leak, *L._counted(items["i2"], free, ix.own[2]), -3, 14)
+
+
 def test_canonical_text():
     assert L.canonical("> Fe\u00adE-Fi\\n\"Fo\"\n  Fum!").split() == ["fee", "fi", "fo", "fum"]
     assert L.canonical("Größe ＡＢＣ").split() == ["größe", "abc"]
