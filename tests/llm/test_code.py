@@ -116,6 +116,30 @@ def test_broken_sources_cost_something(path, text, why):
     assert got.cost > 0 and got.lines and (why is None or got.why == why), got
 
 
+@pytest.mark.parametrize(
+    "path, text, broken",
+    [
+        ("a.tsx", "<p>{format(total}</p>", True), ("a.tsx", "<Row value={a +} />", True), ("a.tsx", "<Row value={} />", True), ("a.tsx", "<Row {a} />", True), ("a.tsx", "<Row b={...a} />", True),
+        ("a.tsx", "<p>{a b}</p>", True), ("a.tsx", "<p>{xs.map((v) => { return <li>{v.}</li>; })}</p>", True), ("a.tsx", "<p>{`${f(}`}</p>", True), ("a.tsx", "<p>{if (a) { b(); }}</p>", True), ("a.tsx", "<p>{a</p>", True),
+        ("a.ts", "`${f(}`", True), ("a.ts", "`a ${} b`", True), ("a.ts", "`${`${a +}`}`", True), ("a.ts", "`${a; b}`", True), ("a.js", "`${[1, 2}`", True), ("a.ts", "`${a", True), ("a.ts", "`${() => { f( }}`", True),
+        ("a.tsx", "<p>{format(total)}</p>", False), ("a.tsx", "<Row value={a + 1} {...rest} {/* c */ ...b} on={() => { go(1); }} style={{ a: 1, \"b\": `}` }} />", False), ("a.tsx", "<p>{}{/* note } */}{\" \"}{...a}</p>", False),
+        ("a.tsx", "<ul>\n  {xs\n    .filter((v) => v.ok && v.n > 1)\n    .map((v) => (\n      <li key={`k-${v.id}`}>{v.on ? <b>{v.name}</b> : null} it's</li>\n    ))}\n</ul>", False),
+        ("a.tsx", "<>{a?.b ?? c[0]}{d as any}{e!}{f! && <G h='}' />} // no note </>", False), ("a.tsx", "<T a={function () { if (x) { return /[}]/.test(y); } return z; }} />", False),
+        ("a.ts", "`${f(\"}\")} and ${a ? `${b}` : \"`\"} \\${ $ { ${x => { return { a: 1 }; }}`", False), ("a.ts", "`${\n  a +\n  b // note }\n}`", False), ("a.js", "tag`a ${b, c}`", False), ("a.ts", "`${e!}`", False),
+    ],
+)
+def test_containers_are_levels_of_their_own(path, text, broken):
+    text = f"import {{ x }} from \"./x\";\nexport function f(a) {{\n  return (\n{text}\n  );\n}}\n"
+    got = S.check(path, text)
+    assert (got.cost > 0) is broken and S.check(path, text.replace("\n", "\r\n")).cost == got.cost, got
+
+
+def test_deep_and_broken_containers_take_bounded_work():
+    assert S.check("a.ts", "const a = " + "`${" * 1500 + "b" + "}`" * 1500 + ";\n").cost == 0
+    assert S.check("a.ts", "const a = " + "`${" * 5000 + "b" + "}`" * 5000 + ";\n").cost > 0
+    assert S.check("a.tsx", "const a = " + "<p>{" * 300 + "b" + "}</p>" * 299 + ";\n").cost > 0
+
+
 def test_unparsable_over_tables(spark):
     rows = [("r/a.py", "r", "x = 1\n"), ("r/b.py", "r", "def f(:\n"), ("r/b.py", "r", "def f(:\n"), ("r/c.py", None, "x ="), ("r/n.py", "r", None), (None, "r", "x ="), ("r/e.py", "r", "  \n"), ("r/z.txt", "r", "((("), ("r/long.js", "r", "f(" * 5000)]
     files = spark.createDataFrame([(*r, "clash", 1) for r in rows], "path string, repo string, content string, why string, cost int")
