@@ -97,16 +97,20 @@ class Hierarchy:
         """path, name, descendants (0 for a leaf, null on or below a loop)."""
         return self.labels().select("path", "name", (F.col("size") - 1).alias("descendants"))
 
-    def descendants_of(self, keys: DataFrame) -> DataFrame:
-        """All descendants of the nodes in ``keys`` (path, name): ancestor path and name, path, name, by chain intervals."""
-        spans = self.scratch.keep(self.intervals())
-        asked = keys.select("path", "name").distinct().join(self.nodes, ["path", "name"]).join(spans, "id")
+    def descendants_of(self, keys: DataFrame | None = None) -> DataFrame:
+        """All descendants of the nodes in ``keys`` (path, name), else of every node: ancestor path and name, path, name.
+
+        By chain intervals; nodes on or below a loop have none. Names are joined before pairs are made, so that no
+        pair is shuffled.
+        """
+        spans = self.scratch.keep(self.intervals().join(self.nodes, "id").select("root", "path", "name", "first", "last"))
+        asked = spans if keys is None else keys.select("path", "name").distinct().join(spans, ["path", "name"])
         asked = asked.select("root", F.col("path").alias("anc_path"), F.col("name").alias("anc_name"), F.col("first").alias("lo"), F.col("last").alias("hi"))
         # runs of numbers meet in buckets: each bucket inside an interval is all descendants, so no pair is tried in vain
         nth = lambda c: F.floor(c / BUCKET)
         asked = asked.filter("hi > lo").withColumn("bucket", F.explode(F.sequence(nth(F.col("lo") + 1), nth(F.col("hi")))))
-        inside = spans.select("root", "id", "first").withColumn("bucket", nth(F.col("first"))).join(asked, ["root", "bucket"]).filter("first > lo and first <= hi")
-        return inside.join(self.nodes, "id").select("anc_path", "anc_name", "path", "name")
+        inside = spans.select("root", "path", "name", "first").withColumn("bucket", nth(F.col("first"))).join(asked, ["root", "bucket"]).filter("first > lo and first <= hi")
+        return inside.select("anc_path", "anc_name", "path", "name")
 
 
 def _to_top(scratch: Scratch, heads: DataFrame, links: DataFrame) -> DataFrame:

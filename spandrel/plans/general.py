@@ -48,7 +48,12 @@ def p5_descendants_of_roots(spark: SparkSession, d: str) -> DataFrame:
     return tree.descendants_of(tree.labels().filter("depth = 0"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_key_counts, p2_found, p2_by_period, p5_found, p5_paths, p5_descendant_counts, p5_descendants_of_roots)}
+def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """anc_path, anc_name, path, name: all descendants of every node that is not on or below a loop."""
+    return hierarchy(table(spark, d, "edges")).descendants_of()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_key_counts, p2_found, p2_by_period, p5_found, p5_paths, p5_descendant_counts, p5_descendants_of_roots, p5_descendants)}
 
 _EDGES = "e as (select distinct on (id) * from edges where coalesce(status, '') <> 'dropped' order by id, loaded_at desc)"
 _KEYS = f"with {_EDGES}, k as (select kind, coalesce(dst_path || '::' || dst_name, 'external:' || ext_name) as dst_key from e)"
@@ -75,5 +80,7 @@ ORACLE = {
     "p5_paths": f"{_TREE} select n.path, n.name, coalesce(depth, -1) as depth, coalesce(full_path, '') as full_path from n left join t using (path, name)",
     "p5_descendant_counts": f"""{_TREE}, a as (select path, name, path as ap, name as an from t union all select a.path, a.name, l.up.p, l.up.n from a join l on l.path = a.ap and l.name = a.an)
   select n.path, n.name, c.descendants from n left join (select ap as path, an as name, count(*) - 1 as descendants from a group by 1, 2) c using (path, name)""",
+    "p5_descendants": f"""{_TREE}, a as (select path, name, path as ap, name as an from t union all select a.path, a.name, l.up.p, l.up.n from a join l on l.path = a.ap and l.name = a.an)
+  select ap as anc_path, an as anc_name, path, name from a where not (ap = path and an = name)""",
     "p5_descendants_of_roots": f"{_TREE} select root_path as anc_path, root_name as anc_name, path, name from t where depth > 0",
 }

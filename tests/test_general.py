@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from spandrel.operators.dangling import dangling_by_period, dangling_ends
 from spandrel.operators.heavy_keys import heavy_keys, key_counts
 from spandrel.operators.hierarchy import hierarchy
+from spandrel.plans.general import QUERIES
 
 EDGE = "id long, src_path string, src_name string, kind string, dst_path string, dst_name string, ext_name string, status string, seen_at timestamp_ntz, loaded_at timestamp_ntz, key string, n int, hops int, way int, at int"
 T0 = datetime(2024, 1, 1)
@@ -131,6 +132,15 @@ def test_hierarchy_against_brute_force(spark):
     assert max(r.n for r in tree.segments().select(F.size("segments").alias("n")).collect()) <= 11  # log2 of the nodes
 
 
+def test_descendants_of_every_node(spark, tmp_path):
+    links = [(f"n{i}::x", f"n{i + 1}::x") for i in range(40)] + [(f"n{i % 7}::x", f"leaf{i}::x") for i in range(1200)] + [("c1::x", "c2::x"), ("c2::x", "c1::x"), ("c2::x", "below::x"), ("below::x", "more::x")]
+    rows = [edge(i, p, "contains", c) for i, (p, c) in enumerate(links)] * 2 + [edge(9000, "n1::x", "contains", "dropped::x", status="dropped"), edge(9001, "a::x", "calls", "b::x")]
+    spark.createDataFrame(rows, EDGE).write.parquet(str(tmp_path / "edges.parquet"))
+    want = {(a, n) for n, way in brute(links).items() for a in (way or [])[:-1]}
+    got = [(f"{r.anc_path}::{r.anc_name}", f"{r.path}::{r.name}") for r in QUERIES["p5_descendants"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_hierarchy_of_nothing(spark):
     tree = hierarchy(spark.createDataFrame([edge(1, "a::b", "calls", "c::d")], EDGE))
     assert tree.labels().count() == 0 and tree.paths().count() == 0
