@@ -2,289 +2,520 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-Q = 20  # characters of a q-gram
-BAND = 48  # characters of a diagonal band; bands overlap by half
 LEAST_WORDS = 25  # words in a row that make a leak
 EDITS = 4  # word edits allowed among as many words
 PHRASE = 3  # words of a run that makes common phrasing when SHARED_BY items hold it; all other words are an item's own, in which near misses differ
-SHARED_BY = 4  # items that hold a q-gram before it counts as shared text
-INDEX_BYTES = 256 << 20  # most text of all items together; the index is broadcast
-_WORD_BYTES = 5  # least mean length of the words of a leak, for the lemma's bound
+SHARED_BY = 4
+LEAST_OWN = 3  # own words of a leak; what has fewer is common phrasing
+SHARED_RUNS = ((12, SHARED_BY - 1), (20, 2))  # words of a run, and items that hold it before it is shared text
+SPAN = LEAST_WORDS + 2 * EDITS  # words of the longest span looked at; longer leaks hold shorter ones
+Q = 12  # bytes of a q-gram
+SHORT_Q = 8  # of windows that longer q-grams can't tell: any 25 words with 4 edits keep at least 6 of these
+OFTEN = 12  # items that hold a q-gram before windows with few rare ones do without it
+LEAST_GRAMS = 10  # q-grams of Q bytes that a window must be sure to keep
+BAND = 2 * (EDITS + 1)  # word diagonals of a band; bands overlap by half, so that EDITS edits stay inside of one
+BITS = 21
+INDEX_BYTES = 4 << 20  # text of the items that are indexed at once; more take as many passes over the documents
 
 _PREFIX = re.compile(r"(?m)^[ \t]*(?:(?:\[[\d:.,TZ \-/]{3,30}\]|\d{1,2}:\d\d(?::\d\d)?|\d+[.):|])[ \t]+)?(?:[A-Za-z][\w-]{0,15}:[ \t]+)?")
 _ESCAPE = re.compile(r"\\+(?:[nrtbfv\"'/`]|u00[0-9a-fA-F]{2}|x[0-9a-fA-F]{2})|&(?:amp|lt|gt|quot|apos|nbsp|#\d{1,4}|#x[0-9a-fA-F]{1,4});")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff\u0300-\u036f]")
 _GAP = re.compile("[^0-9a-z\x00\x80-\U0010ffff]+")
+_SOLID = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")  # scripts without spaces: each character is a word
 _WIDE_GAP = re.compile("[\x80-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\xd7\xf7\u2000-\u206f\u3000-\u303f\uff00-\uff0f\ufe30-\ufe4f\ud800-\udfff]")
 
 
 def canonical(text: str) -> str:
     """Words in lower case between single spaces; line prefixes, escapes, punctuation and layout are gone. NUL stays."""
     if not text.isascii():
-        text = _WIDE_GAP.sub(" ", _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)))
+        text = _SOLID.sub(r" \1 ", _WIDE_GAP.sub(" ", _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))))
     text = _PREFIX.sub("", text)
     if "\\" in text or "&" in text:
         text = _ESCAPE.sub(" ", text)
     return _GAP.sub(" ", text.lower())
 
 
-def _grams(raw: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the Q bytes from each position on."""
-    if len(raw) < Q:
+def _grams(raw: np.ndarray, q: int) -> np.ndarray:
+    """A 64-bit hash of the ``q`` bytes (8 to 23) from each position on."""
+    if len(raw) < q:
         return np.zeros(0, np.uint64)
     a = raw.astype(np.uint64)
     w = a[:-1] | (a[1:] << np.uint64(8))
     w = w[:-2] | (w[2:] << np.uint64(16))
     w = w[:-4] | (w[4:] << np.uint64(32))
-    n = len(raw) - Q + 1
+    n = len(raw) - q + 1
     h = w[:n] * np.uint64(0x9E3779B97F4A7C15)
-    h ^= (w[8 : 8 + n] + (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= (w[Q - 8 : Q - 8 + n] + (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    for at in sorted({min(8, q - 8), q - 8} - {0}):
+        h ^= (w[at : at + n] + (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(32))
 
 
+def _word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
+    for w in words:
+        if w not in known:
+            known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+    return np.array([known[w] for w in words], np.uint64)
+
+
+def _run_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of the ``n`` words from each word on."""
+    out = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    for k in range(n if len(out) else 0):
+        out = (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(out)]
+    return out
+
+
+# what is counted over all items: words of a run (or 0 for q-grams), and the items that make it common
+_COMMON = ((0, SHARED_BY), (0, OFTEN), *SHARED_RUNS, (PHRASE, SHARED_BY))
+
+
+def _counted_hashes(text: str, known: dict[str, int]) -> list[np.ndarray]:
+    """The hashes of one canonical text that are counted over all items, in the order of ``_COMMON``."""
+    words = _word_hashes(text.split(), known)
+    return [_run_hashes(words, n) if n else _grams(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), Q) for n, _ in _COMMON]
+
+
+def _canonical_texts(items: Iterable[tuple[str, list[str | None]]]) -> list[tuple[str, str]]:
+    """Distinct (instance, canonical text)."""
+    return [x for x in dict.fromkeys((name, canonical(t).strip()) for name, ts in items for t in ts if t) if x[1]]
+
+
+def _common_here(texts: list[tuple[str, str]]) -> list[np.ndarray]:
+    """For each of ``_COMMON`` the sorted hashes that so many of the items hold."""
+    known: dict[str, int] = {}
+    owner = {n: i for i, n in enumerate(dict.fromkeys(n for n, _ in texts))}
+    hashes = [_counted_hashes(t, known) for _, t in texts]
+    out = []
+    for k, (_, least) in enumerate(_COMMON):
+        flat = np.concatenate([*(h[k] for h in hashes), np.zeros(0, np.uint64)])
+        who = np.repeat(np.array([owner[n] for n, _ in texts], np.uint64), [len(h[k]) for h in hashes])
+        order = np.lexsort((who, flat))
+        flat, who = flat[order], who[order]
+        once = np.ones(len(flat), bool)
+        once[1:] = (flat[1:] != flat[:-1]) | (who[1:] != who[:-1])  # an item counts once
+        distinct, n = np.unique(flat[once], return_counts=True)
+        out.append(distinct[n >= least])
+    return out
+
+
+def _common_everywhere(instances: DataFrame, parts: int) -> DataFrame:
+    """part, k, hash: what ``_common_here`` gives, counted over the items of all parts, for the parts that hold it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for b in batches:
+            for name, part, *texts in zip(*(c.to_pylist() for c in b.columns)):
+                for _, text in _canonical_texts([(name, texts)]):
+                    for k, h in enumerate(_counted_hashes(text, known)):
+                        h = np.unique(h).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(h), pa.string()), pa.array(np.full(len(h), part, np.int32)), pa.array(np.full(len(h), k, np.int32)), pa.array(h)], ["name", "part", "k", "hash"])
+
+    held = _parted(instances, parts).mapInArrow(run, "name string, part int, k int, hash long").distinct()
+    least = F.element_at(F.array(*(F.lit(n) for _, n in _COMMON)), F.col("k") + 1)
+    common = held.groupBy("k", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("k", "hash")
+    return held.select("part", "k", "hash").distinct().join(common, ["k", "hash"], "left_semi")
+
+
+def _parted(instances: DataFrame, parts: int) -> DataFrame:
+    """instance_id, part and texts of the items that have any."""
+    rows = instances.filter("instance_id is not null and coalesce(problem_statement, patch) is not null")
+    return rows.select("instance_id", F.pmod(F.xxhash64("instance_id"), F.lit(parts)).cast("int").alias("part"), "problem_statement", "patch").distinct()
+
+
+@dataclass
+class Grams:
+    """Index of the q-grams of some windows of all texts, and what the windows need of them."""
+
+    q: int
+    keys: np.ndarray  # sorted hashes
+    times: np.ndarray  # postings from the first of each hash on
+    text: np.ndarray  # text of each posting
+    at: np.ndarray  # its byte
+    word: np.ndarray  # its word
+    bits: np.ndarray  # filter over the upper bits of the hashes
+    windows: list[tuple[np.ndarray, ...]]  # of each text: first and last byte of a q-gram in each window, q-grams it must keep, its place among _spans
+    least: np.ndarray  # fewest that a window with the q-gram of each posting must keep
+
+
 @dataclass
 class Index:
-    """q-grams of all items that fewer than SHARED_BY items hold."""
+    """Items by text."""
 
     items: list[str]  # instance of each text
     words: list[list[str]]
-    shared: list[list[bool]]  # words in 12 words that 3 items hold, or 20 that 2 hold
-    own: list[list[bool]]  # words outside of runs of PHRASE words that SHARED_BY items hold
-    starts: list[np.ndarray]  # byte at which each word starts
-    keys: np.ndarray  # sorted q-gram hashes
-    text: np.ndarray  # text of each posting
-    at: np.ndarray  # byte of each posting
-    bits: np.ndarray  # filter over the upper bits of the hashes
+    shared: list[np.ndarray]  # words in 12 words that 3 items hold, or 20 that 2 hold
+    own: list[np.ndarray]  # words outside of runs of PHRASE words that SHARED_BY items hold
+    spans: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    hashes: list[np.ndarray]  # of each word
+    grams: list[Grams]
+
+
+_POWERS = np.cumprod(np.full(1 << 10, 0x9E3779B97F4A7C15, np.uint64))
+_INVERSE = np.cumprod(np.full(1 << 10, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
+
+
+def _words_of(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number of each word; equal words have the same, others seldom."""
+    global _POWERS, _INVERSE
+    if len(_POWERS) <= len(raw):
+        _POWERS = np.cumprod(np.full(2 * len(raw), 0x9E3779B97F4A7C15, np.uint64))
+        _INVERSE = np.cumprod(np.full(2 * len(raw), pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(raw)])])
+    return (sums[ends] - sums[starts]) * _INVERSE[starts]
 
 
-def build_index(items: list[tuple[str, list[str | None]]]) -> Index:
-    """Index of (instance, texts); rows that repeat an instance add to it."""
-    texts = [(name, canonical(t).strip()) for name, ts in items for t in ts if t]
-    texts = list(dict.fromkeys(x for x in texts if x[1]))
-    holders12: dict[tuple, set] = defaultdict(set)
-    holders20: dict[tuple, set] = defaultdict(set)
-    phrases: dict[tuple, set] = defaultdict(set)
-    words = [t.split() for _, t in texts]
-    for (name, _), ws in zip(texts, words):
-        for i in range(len(ws) - 11):
-            holders12[tuple(ws[i : i + 12])].add(name)
-        for i in range(len(ws) - 19):
-            holders20[tuple(ws[i : i + 20])].add(name)
-        for i in range(len(ws) - PHRASE + 1):
-            phrases[tuple(ws[i : i + PHRASE])].add(name)
-    shared, own = [], []
-    for ws in words:
-        mask = [False] * len(ws)
-        for size, holders, least in ((12, holders12, SHARED_BY - 1), (20, holders20, 2)):
-            for i in range(len(ws) - size + 1):
-                if len(holders[tuple(ws[i : i + size])]) >= least:
-                    mask[i : i + size] = [True] * size
+def _among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of ``keys`` are in the sorted ``some``."""
+    return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys if len(some) else np.zeros(len(keys), bool)
+
+
+def _covered(at: np.ndarray, n: int, size: int) -> np.ndarray:
+    """Which of ``size`` places lie in the ``n`` from one of ``at`` on."""
+    step = np.zeros(size + 1, np.int64)
+    np.add.at(step, at, 1)
+    np.add.at(step, np.minimum(at + n, size), -1)
+    return np.cumsum(step[:-1]) > 0
+
+
+def _spans(shared: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, end, and own words that may be edited, of each window of LEAST_WORDS words outside of shared text."""
+    free = np.nonzero(~shared)[0]
+    n = max(0, len(free) - LEAST_WORDS + 1)
+    a, z = free[:n], free[LEAST_WORDS - 1 :] + 1
+    count = np.concatenate([[0], np.cumsum(own)])
+    longest = free[np.minimum(np.arange(n) + SPAN, len(free)) - 1] + 1
+    return a, z, np.minimum(EDITS, EDITS * (count[longest] - count[a]) // LEAST_WORDS)
+
+
+def _kept(q: int, used: np.ndarray, starts: np.ndarray, ends: np.ndarray, own: np.ndarray, a: np.ndarray, z: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last q-gram of the windows of words ``a`` to ``z`` (not included), and how many they are sure to keep.
+
+    The q-gram lemma for word edits: an edit of a word (or beside it) takes no other q-grams than those that overlap
+    it or the space behind it. What is left after EDITS edits, ``most`` of them on the item's own words, is at least
+    all in use less those of the words that most overlap.
+    """
+    count = np.concatenate([[0], np.cumsum(used)])
+    first, last = starts[a], np.maximum(ends[z - 1] - q + 1, starts[a])  # q-grams begin in [first, last)
+    kept = count[last] - count[first]
+    for m in np.unique(z - a).tolist():
+        rows = np.nonzero(z - a == m)[0]
+        for some in np.array_split(rows, len(rows) * m // 2_000_000 + 1):
+            w = a[some][:, None] + np.arange(m)
+            lo = np.minimum(np.maximum(starts[w] - q + 1, first[some][:, None]), last[some][:, None])
+            hi = np.maximum(lo, np.minimum(ends[w] + 1, last[some][:, None]))
+            lost, mine = count[hi] - count[lo], own[w]
+            top = lambda x: np.concatenate([np.zeros((len(x), 1), np.int64), np.cumsum(-np.sort(-x, axis=1)[:, :EDITS], axis=1)], axis=1)
+            of_own, of_rest = top(np.where(mine, lost, 0)), top(np.where(mine, 0, lost))
+            worst = np.zeros(len(some), np.int64)
+            for n in range(EDITS + 1):
+                worst = np.maximum(worst, of_own[np.arange(len(some)), np.minimum(n, most[some])] + of_rest[:, EDITS - n])
+            kept[some] -= worst
+    return first, last - 1, kept
+
+
+def build_index(items: list[tuple[str, list[str | None]]], common: list[np.ndarray] | None = None) -> Index:
+    """Index of (instance, texts); rows that repeat an instance add to it. ``common`` as counted over all items."""
+    texts = _canonical_texts(items)
+    common = common or _common_here(texts)
+    known: dict[str, int] = {}
+    words, shared, own, spans, hashes = [t.split() for _, t in texts], [], [], [], []
+    tiers = (Q, Q, SHORT_Q)  # q-grams that few items hold, then more of them, then shorter ones for the windows that these can't tell
+    placed: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple]]] = [[] for _ in tiers]
+    for (_, text), ws in zip(texts, words):
+        rare, often, *runs, phrases = common
+        ids = _word_hashes(ws, known)
+        mask = np.zeros(len(ws), bool)
+        for (n, _), held in zip(SHARED_RUNS, runs):
+            mask |= _covered(np.nonzero(_among(_run_hashes(ids, n), held))[0], n, len(ws))
         shared.append(mask)
-        mine = [True] * len(ws)
-        for i in range(len(ws) - PHRASE + 1):
-            if len(phrases[tuple(ws[i : i + PHRASE])]) >= SHARED_BY:
-                mine[i : i + PHRASE] = [False] * PHRASE
-        own.append(mine)
-    raws = [np.frombuffer(t.encode(), np.uint8) for _, t in texts]
-    grams = [_grams(r) for r in raws]
-    all_keys = np.concatenate([*grams, np.zeros(0, np.uint64)])
-    all_text = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
-    all_at = np.concatenate([*(np.arange(len(g), dtype=np.int32) for g in grams), np.zeros(0, np.int32)])
-    owner = {n: i for i, n in enumerate(dict.fromkeys(n for n, _ in texts))}
-    who = np.array([owner[n] for n, _ in texts], np.int64)
-    pairs = np.unique(np.stack([all_keys, who[all_text].astype(np.uint64)]), axis=1) if len(all_keys) else np.zeros((2, 0), np.uint64)
-    distinct, held = np.unique(pairs[0], return_counts=True)
-    keep = np.isin(all_keys, distinct[held < SHARED_BY])
-    order = np.argsort(all_keys[keep], kind="stable")
-    keys, text, at = all_keys[keep][order], all_text[keep][order], all_at[keep][order]
-    bits = np.zeros(1 << 22, bool)
-    bits[(keys >> np.uint64(42)).astype(np.int64)] = True
-    starts = [np.concatenate([[0], np.nonzero(r == 32)[0] + 1]) for r in raws]
-    return Index([n for n, _ in texts], words, shared, own, starts, keys, text, at, bits)
-
-
-def _counted(item: list[str], shared: list[bool], own: list[bool]) -> tuple[dict[str, list[int]], list[int], list[int]]:
-    """Places of each word of an item; own words and words outside of shared text before each place."""
-    places: dict[str, list[int]] = defaultdict(list)
-    for j, w in enumerate(item):
-        places[w].append(j)
-    return dict(places), [0, *accumulate(own)], [0, *accumulate(not s for s in shared)]
-
-
-def _aligned(doc: list[str], places: dict[str, list[int]], mine: list[int], free: list[int], diagonal: int, width: int) -> bool:
-    """Whether some span of LEAST_WORDS item words, words in shared text left out, is in ``doc`` with at most EDITS edits.
-
-    A replaced, missing or added word is an edit. Runs of equal words within ``width`` of a diagonal (doc minus item)
-    are chained. No part at either end of a span has more edits than matches, so a shorter quotation does not grow
-    by chance words beside it. Of the item's own words in the span no larger share, EDITS in LEAST_WORDS, may be edited.
+        own.append(~_covered(np.nonzero(_among(_run_hashes(ids, PHRASE), phrases))[0], PHRASE, len(ws)))
+        raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+        ends = np.append(np.nonzero(raw == 32)[0], len(raw))
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        spans.append(_spans(mask, own[-1]))
+        hashes.append(_words_of(raw, starts, ends))
+        left = np.arange(len(spans[-1][0]))
+        for tier, (q, hot) in enumerate(zip(tiers, (rare, often, None))):
+            if not len(left):
+                placed[tier].append((np.zeros(0, np.uint64), left, left, left, (left, left, left, left)))
+                continue
+            keys = _grams(raw, q)
+            used = np.zeros(len(raw) + 1, bool)
+            used[: len(keys)] = True if hot is None else ~_among(keys, hot)
+            first, last, kept = _kept(q, used, starts, ends, own[-1], *(x[left] for x in spans[-1]))
+            sure = kept >= (LEAST_GRAMS if q == Q else 1)
+            wanted = np.zeros(len(raw) + 2, np.int64)
+            np.add.at(wanted, first[sure], 1)
+            np.add.at(wanted, last[sure] + 1, -1)
+            at = np.nonzero(used[: len(keys)] & (np.cumsum(wanted)[: len(keys)] > 0))[0]
+            fewest = np.full(len(raw) + 1, 1 << 30, np.int32)
+            for f, n, k in zip(first[sure].tolist(), last[sure].tolist(), kept[sure].tolist()):
+                np.minimum(fewest[f : n + 1], k, out=fewest[f : n + 1])
+            placed[tier].append((keys[at], at, np.searchsorted(ends, at, side="left"), fewest[at], (first[sure], last[sure], kept[sure], left[sure])))
+            left = left[~sure]
+    grams = []
+    for q, rows in zip(tiers, placed):
+        keys = np.concatenate([*(k for k, *_ in rows), np.zeros(0, np.uint64)])
+        if not len(keys):
+            continue
+        order = np.argsort(keys, kind="stable")
+        bits = np.zeros(1 << BITS, bool)
+        bits[(keys >> np.uint64(64 - BITS)).astype(np.int64)] = True
+        text = np.repeat(np.arange(len(rows), dtype=np.int32), [len(k) for k, *_ in rows])
+        at, word, least = (np.concatenate([r[i] for r in rows]).astype(np.int32)[order] for i in (1, 2, 3))
+        keys = keys[order]
+        times = np.searchsorted(keys, keys, side="right") - np.arange(len(keys))
+        grams.append(Grams(q, keys, times, text[order], at, word, bits, [w for *_, w in rows], least))
+    return Index([n for n, _ in texts], words, shared, own, spans, hashes, grams)
+
+
+def _held(doc: list[str], item: list[str], own: list[bool], free: list[bool], a: int, low: int) -> bool:
+    """Whether a span of item words from ``a`` on, LEAST_WORDS to SPAN of them free, is in ``doc`` with at most EDITS edits.
+
+    A replaced, missing or added word is an edit. No part at either end of a span has more edits than matches, so a
+    shorter quotation does not grow by chance words beside it. Of the item's own words in the span no larger share,
+    EDITS in LEAST_WORDS, may be edited, and there are LEAST_OWN or more. Word j of the item is tried against the BAND words of ``doc`` from j + ``low``.
     """
-    runs: list[list[int]] = []  # first word in doc, first word in item, length
-    live: dict[int, list[int]] = {}
-    for i, w in enumerate(doc):
-        here = {}
-        for j in places.get(w, ()):
-            if abs(i - j - diagonal) <= width:
-                if (r := live.get(j - 1)) is None:
-                    runs.append(r := [i, j, 0])
-                r[2] += 1
-                here[j] = r
-        live = here
-    # ways that end with a run, by edits, edits not yet outweighed since the best point, and own words edited: the
-    # first item word and the matches less edits; of equal ways the longest is the best
-    near: list[tuple[int, int, dict[tuple[int, int, int], tuple[int, int]]]] = []
-    for i, j, n in runs:
-        near = [x for x in near if x[0] >= i - EDITS]
-        ways = {(0, 0, 0): (j, n)}
-        for i_end, j_end, before in near:
-            late = max(0, i_end - i, j_end - j)  # words of this run that the one before has used
-            gap = max(i + late - i_end, j + late - j_end)
-            if late >= n or gap > EDITS:
+    # ways by edits, edits not yet outweighed since the best point, and matches less edits (more than EDITS are as good);
+    # the fewest own words edited of each
+    n = len(doc)
+    cells: list[dict[tuple[int, int, int], int]] = [{(0, 0, 0): 0} if 0 <= a + low + d < n and doc[a + low + d] == item[a] else {} for d in range(BAND)]
+    words = mine = 0
+    for j in range(a, len(item)):
+        word, o = item[j], int(own[j])
+        words, mine = words + free[j], mine + o
+        if words > SPAN:
+            return False
+        nxt: list[dict[tuple[int, int, int], int]] = [{} for _ in range(BAND)]
+        alive = False
+        for d in range(BAND):
+            cell = cells[d]
+            if not cell:
                 continue
-            lost = mine[j + late] - mine[j_end]
-            for (e, owed, o), (first, score) in before.items():
-                if e + gap <= EDITS and score >= gap:
-                    key, way = (e + gap, max(0, owed + gap - n + late), o + lost), (first, score - gap + n - late)
-                    if key not in ways or (way[0], -way[1]) < (ways[key][0], -ways[key][1]):
-                        ways[key] = way
-        end = j + n
-        for (_, owed, o), (first, _) in ways.items():
-            if not owed and free[end] - free[first] >= LEAST_WORDS and o * LEAST_WORDS <= EDITS * (mine[end] - mine[first]):
-                return True
-        near.append((i + n, end, ways))
+            i = j + low + d
+            same = 0 <= i < n and doc[i] == word
+            for (e, owed, score), lost in cell.items():
+                if same:
+                    key, alive = (e, max(0, owed - 1), min(EDITS, score + 1)), True
+                    if nxt[d].get(key, 99) > lost:
+                        nxt[d][key] = lost
+                if e < EDITS and score:
+                    key, alive = (e + 1, owed + 1, score - 1), True
+                    if not same and i < n and nxt[d].get(key, 99) > lost + o:
+                        nxt[d][key] = lost + o
+                    if d and nxt[d - 1].get(key, 99) > lost + o:
+                        nxt[d - 1][key] = lost + o
+                    if d + 1 < BAND and i + 1 < n and cells[d + 1].get(key, 99) > lost:
+                        cells[d + 1][key] = lost
+        if not alive:
+            return False
+        if words >= LEAST_WORDS and free[j] and mine >= LEAST_OWN and any(not owed and lost * LEAST_WORDS <= EDITS * mine for cell in nxt for (_, owed, _), lost in cell.items()):
+            return True
+        cells = nxt
     return False
 
 
+class _Texts:
+    """Texts one after the other, each word by its number; NUL ends each."""
+
+    def __init__(self, raw: np.ndarray):
+        self.raw = raw
+        self.spaces = np.nonzero(raw == 32)[0]
+        self.ends = np.searchsorted(self.spaces, np.nonzero(raw == 0)[0])  # the word that ends each
+        self._hashes: np.ndarray | None = None
+
+    @property
+    def hashes(self) -> np.ndarray:
+        if self._hashes is None:
+            self._hashes = _words_of(self.raw, np.concatenate([[0], self.spaces + 1]), np.append(self.spaces, len(self.raw)))
+        return self._hashes
+
+    def bounds(self, n: int) -> tuple[int, int]:
+        return int(self.ends[n - 1]) + 1 if n else 0, int(self.ends[n]) if n < len(self.ends) else len(self.spaces) + 1
+
+    def words(self, a: int, z: int) -> list[str]:
+        if z <= a:
+            return []
+        start = int(self.spaces[a - 1]) + 1 if a else 0
+        return self.raw[start : int(self.spaces[z - 1]) if z - 1 < len(self.spaces) else len(self.raw)].tobytes().decode("utf-8", "replace").split(" ")
+
+
 class Searcher:
     def __init__(self, index: Index):
         self.ix = index
-        self.counted: dict[int, tuple[dict[str, list[int]], list[int], list[int]]] = {}  # of the items looked at
-        # the lemma: n bytes with e edits share at least n - Q + 1 - e * (Q + length of the edit) q-grams
-        self.least = LEAST_WORDS * (_WORD_BYTES + 1) - Q + 1 - EDITS * (Q + _WORD_BYTES + 1)
-        self.cover = self.least + Q - 1  # bytes under as many q-grams in one run
+        self.base = max(map(len, index.words), default=0) // BAND * BAND + BAND  # keeps diagonals positive
+        self.lists: dict[int, tuple[list[bool], list[bool]]] = {}  # own and free words of the items looked at
 
     def search(self, texts: list[str | None]) -> list[tuple[int, str]]:
         """(position in ``texts``, item) of every leak."""
-        ix = self.ix
         whole = canonical("\x00".join(t.replace("\x00", " ") if t and "\x00" in t else t or "" for t in texts).replace("\x00", "\n\x00\n"))
-        raw = np.frombuffer(whole.encode("utf-8", "replace"), np.uint8)
-        if not len(ix.keys):
-            return []
-        spots = []
-        for lo in range(0, max(1, len(raw) - Q + 1), 1 << 22):  # in blocks, so that a long text takes bounded memory
-            h = _grams(raw[lo : lo + (1 << 22) + Q - 1])
-            maybe = np.nonzero(ix.bits[(h >> np.uint64(42)).astype(np.int64)])[0]
-            left = np.searchsorted(ix.keys, h[maybe])
-            hit = ix.keys[np.minimum(left, len(ix.keys) - 1)] == h[maybe]
-            spots.append((maybe[hit] + lo, left[hit], np.searchsorted(ix.keys, h[maybe[hit]], side="right")))
-        at, left, right = (np.concatenate(x) for x in zip(*spots))
-        if not len(at):
-            return []
-        reps = right - left
-        pos = np.repeat(at, reps)
-        post = np.repeat(left, reps) + np.arange(len(pos)) - np.repeat(np.cumsum(reps) - reps, reps)
-        text, inst_at = ix.text[post].astype(np.int64), ix.at[post].astype(np.int64)
-        ends = np.nonzero(raw == 0)[0]
-        doc = np.searchsorted(ends, pos)
-        diagonal = pos - inst_at
+        doc = _Texts(np.frombuffer(whole.encode("utf-8", "replace"), np.uint8))
         found: dict[int, set[str]] = defaultdict(set)
-        tried: set[tuple[int, int, int]] = set()
-        for shift in (0, BAND // 2):
-            band = (diagonal + shift + (1 << 20)) // BAND
-            order = np.lexsort((pos, band, text, doc))
-            d, t, b, p, diag = doc[order], text[order], band[order], pos[order], diagonal[order]
-            new = np.ones(len(d), bool)
-            new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (b[1:] != b[:-1])
-            first = np.nonzero(new)[0]
-            count = np.diff(np.append(first, len(d)))
-            gain = np.minimum(np.diff(p, prepend=-(10**9)), Q)
-            gain[new] = Q
-            covered = np.add.reduceat(gain, first)
-            for g in np.nonzero((count >= self.least) & (covered >= self.cover))[0].tolist():
-                f, n = first[g], count[g]
-                dd, tt = int(d[f]), int(t[f])
-                if ix.items[tt] in found[dd]:
-                    continue
-                if self._verify(raw, ends, dd, tt, p[f : f + n], int(np.median(diag[f : f + n])), tried):
-                    found[dd].add(ix.items[tt])
+        for q in {g.q for g in self.ix.grams}:
+            for grams, (at, left, right) in _hits(doc.raw, [g for g in self.ix.grams if g.q == q]):
+                reps = right - left
+                word = np.repeat(np.searchsorted(doc.spaces, at), reps)
+                if len(word):
+                    post = np.repeat(left - np.cumsum(reps) + reps, reps) + np.arange(len(word))
+                    for shift in (0, BAND // 2):
+                        self._bands(doc, grams, word, post, shift, found)
         return [(d, name) for d, names in found.items() for name in sorted(names)]
 
-    def _verify(self, raw: np.ndarray, ends: np.ndarray, doc: int, text: int, spots: np.ndarray, diagonal: int, tried: set) -> bool:
-        lo, hi = (int(ends[doc - 1]) + 1 if doc else 0), (int(ends[doc]) if doc < len(ends) else len(raw))
-        item, starts = self.ix.words[text], self.ix.starts[text]
-        reach = int(starts[-1]) + 400
-        # a band may hold several places of one document; each is looked at by itself
-        cuts = np.nonzero(np.diff(spots) > reach)[0] + 1
-        for part in np.split(spots, cuts):
-            if len(part) < self.least:
-                continue
-            a, z = max(lo, int(part[0]) - 300), min(hi, int(part[-1]) + Q + 300)
-            while a > lo and raw[a - 1] != 32:
-                a -= 1
-            while z < hi and raw[z] != 32:
-                z += 1
-            words = raw[a:z].tobytes().decode("utf-8", "replace").split()
-            # the word of the doc and of the item at the middle spot give the diagonal in words
-            mid = int(part[len(part) // 2])
-            before = len(raw[a:mid].tobytes().decode("utf-8", "replace").split())
-            inst = int(np.searchsorted(starts, mid - diagonal))
-            key = (doc, text, (before - inst) // 4 + a)
-            if key in tried:
+    def _bands(self, doc: _Texts, grams: Grams, word: np.ndarray, post: np.ndarray, shift: int, found: dict[int, set[str]]) -> None:
+        """Count the q-grams that a document and an item share in each band, and look at those that may hold a window."""
+        bands = (len(doc.spaces) + self.base) // BAND + 2
+        key = grams.text[post].astype(np.int64) * bands + (word - grams.word[post] + (self.base + shift)) // BAND
+        # hashed counts never fall short, so most postings go before anything is sorted
+        bucket = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(45)).astype(np.int64)
+        least = grams.least[post]
+        keep = np.nonzero(np.bincount(bucket, minlength=1 << 19)[bucket] >= least)[0]
+        k, at, d, least = key[keep], grams.at[post[keep]], np.searchsorted(doc.ends, word[keep]), least[keep]
+        order = np.lexsort((at, d, k))
+        k, at, d, least = k[order], at[order], d[order], least[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+        once = new.copy()
+        once[1:] |= at[1:] != at[:-1]  # a q-gram of the item counts once
+        k, at, d, new, least = k[once], at[once], d[once], new[once], least[once]
+        first = np.nonzero(new)[0]
+        size = np.diff(np.append(first, len(k)))
+        able = least <= np.repeat(size, size)  # q-grams of windows that the band has enough of
+        enough = np.nonzero(np.add.reduceat(able, first, dtype=np.int64) >= np.minimum.reduceat(least, first))[0] if len(first) else first
+        # spans whose windows share as many q-grams as they are sure to keep
+        rows: list[tuple[int, int, int, np.ndarray]] = []  # text, document, lowest diagonal, places among its spans
+        for f, n in zip(first[enough].tolist(), size[enough].tolist()):
+            t = int(k[f] // bands)
+            lo, hi, least, place = grams.windows[t]
+            here = at[f : f + n]
+            shares = here.searchsorted(hi, side="right") - here.searchsorted(lo) >= least
+            if shares.any():
+                rows.append((t, int(d[f]), int(k[f] % bands) * BAND - self.base - shift, place[shares]))
+        for (t, n, low, _), starts in zip(rows, self._matched(doc, rows)):
+            if len(starts) and self.ix.items[t] not in found[n] and self._verify(doc, t, n, low, starts):
+                found[n].add(self.ix.items[t])
+
+    def _matched(self, doc: _Texts, rows: list[tuple[int, int, int, np.ndarray]]) -> list[np.ndarray]:
+        """First words of the spans of each row that are left, as item words that the band has nowhere are edits for certain."""
+        if not rows:
+            return []
+        spans = [tuple(x[places] for x in self.ix.spans[t]) for t, _, _, places in rows]
+        begins, sizes = [int(s[0]) for s, _, _ in spans], [int(z[-1] - s[0]) for s, z, _ in spans]
+        mine = np.concatenate([self.ix.hashes[t][b : b + n] for (t, *_), b, n in zip(rows, begins, sizes)])
+        own = np.concatenate([self.ix.own[t][b : b + n] for (t, *_), b, n in zip(rows, begins, sizes)])
+        offset = np.cumsum([0, *sizes])
+        lows = np.array([low + b for (_, _, low, _), b in zip(rows, begins)]) - offset[:-1]
+        i = np.arange(len(mine)) + np.repeat(lows, sizes)
+        missed = np.ones(len(mine), bool)
+        for n in range(BAND):
+            missed &= doc.hashes[np.clip(i + n, 0, len(doc.hashes) - 1)] != mine
+        edits, lost = np.concatenate([[0], np.cumsum(missed)]), np.concatenate([[0], np.cumsum(missed & own)])
+        out = []
+        for (a, z, most), b, at in zip(spans, begins, offset.tolist()):
+            s, e = a - b + at, z - b + at
+            out.append(a[(edits[e] - edits[s] <= EDITS) & (lost[e] - lost[s] <= most) & ~missed[s]])
+        return out
+
+    def _verify(self, doc: _Texts, text: int, n: int, low: int, starts: np.ndarray) -> bool:
+        """Whether document ``n`` holds a leak from one of the item's words ``starts`` on in the band from diagonal ``low`` on."""
+        item = self.ix.words[text]
+        if text not in self.lists:
+            self.lists[text] = self.ix.own[text].tolist(), (~self.ix.shared[text]).tolist()
+        own, free = self.lists[text]
+        first, last = doc.bounds(n)
+        for j in starts.tolist():
+            a = max(first, j + low)
+            words = doc.words(a, min(last, a + BAND))
+            if item[j] not in words:
                 continue
-            tried.add(key)
-            if text not in self.counted:
-                self.counted[text] = _counted(item, self.ix.shared[text], self.ix.own[text])
-            if _aligned(words, *self.counted[text], before - inst, 14):
+            stop, left = j, SPAN
+            while stop < len(item) and left:
+                left -= free[stop]
+                stop += 1
+            if _held(doc.words(a, min(last, stop + low + BAND)), item, own, free, j, low - a):
                 return True
         return False
 
 
+def _hits(raw: np.ndarray, every: list[Grams]) -> Iterator[tuple[Grams, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Places whose q-gram is in each index (of one q), and its range of postings."""
+    q, spots = every[0].q, [[] for _ in every]
+    for lo in range(0, max(1, len(raw) - q + 1), 1 << 18):  # in blocks, so that a long text takes bounded memory
+        h = _grams(raw[lo : lo + (1 << 18) + q - 1], q)
+        upper = (h >> np.uint64(64 - BITS)).astype(np.int64)
+        for grams, out in zip(every, spots):
+            maybe = np.nonzero(grams.bits[upper])[0]
+            left = np.searchsorted(grams.keys, h[maybe])
+            hit = grams.keys[np.minimum(left, len(grams.keys) - 1)] == h[maybe]
+            at, left = maybe[hit], left[hit]
+            out.append((at + lo, left, left + grams.times[left]))
+    for grams, out in zip(every, spots):
+        yield grams, tuple(np.concatenate(x) for x in zip(*out))
 
 
-def leaked(documents: DataFrame, instances: DataFrame) -> DataFrame:
+def leaked(documents: DataFrame, instances: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """doc_id, instance_id of documents that hold at least 25 words in a row of one item's text, a few edits allowed.
 
-    All items against all documents: the items' q-grams are indexed and broadcast (their text is limited to 256 MB,
-    which is checked), and every document is searched whole in one narrow pass. Shared q-grams are counted in
-    overlapping diagonal bands; what stays below the lemma's bound for 25 words of 5 bytes with 4 edits is dropped,
-    and the rest is verified by a banded alignment of words: a leak is a span of at least 25 item words with at most
-    4 edits. q-grams that 4 or more items hold, and words in passages that several items hold, are shared text and
-    count nothing. Near misses repeat the phrasing of an item and differ in what it says: words outside of runs of
-    3 words that 4 or more items hold are an item's own, and of these too at most 4 in 25 may be edited.
+    All items against all documents: the items' q-grams are indexed and broadcast, and every document is searched
+    whole in one narrow pass. For each window of 25 words of an item the q-gram lemma says how many of its q-grams
+    any 4 edits must leave, from the window's own words and q-grams. q-grams that 4 or more items hold are left out;
+    windows that are not sure to keep 10 of the others (short words, common phrasing) are indexed by all their
+    q-grams of 8 bytes, of which 25 words keep at least 6. Shared q-grams are counted in overlapping bands of word
+    diagonals, wide enough for 4 edits, so no leak falls below its window's bound; what is left is verified by a
+    banded alignment of words: a leak is a span of 25 to 33 item words with at most 4 edits (longer ones hold such a
+    span). Words in passages that several items hold are shared text and count nothing. Near misses repeat the
+    phrasing of an item and differ in what it says: words outside of runs of 3 words that 4 or more items hold are
+    an item's own, and of these too at most 4 in 25 may be edited. In scripts without spaces each character is a
+    word.
+
+    Items of more than ``index_bytes`` of text are indexed in parts of about as much, each in a pass of its own over
+    the documents; what counts as shared is counted over all of them by hash.
 
     Defined results: null and empty texts have no leaks; items without text are ignored; rows that repeat a
     document or an item give one row; empty tables give no rows; other columns are ignored.
     """
     spark = documents.sparkSession
     size = instances.selectExpr("sum(coalesce(length(problem_statement), 0) + coalesce(length(patch), 0)) as n").first()[0] or 0
-    if size > INDEX_BYTES:
-        raise ValueError(f"the items hold {size} characters; search them in parts of at most {INDEX_BYTES}")
-    rows = instances.filter("instance_id is not null").select("instance_id", "problem_statement", "patch").distinct().collect()  # bounded by the check above
-    index = spark.sparkContext.broadcast(build_index(sorted((r[0], [r[1], r[2]]) for r in rows if r[1] or r[2])))
+    parts = max(1, -(-size // index_bytes))
+    rows = _parted(instances, parts)
+    common = _common_everywhere(instances, parts).persist() if parts > 1 else None
+    docs = documents.filter("doc_id is not null and text is not null").select("doc_id", "text")
+    found = None
+    for part in range(parts):
+        held = rows.filter(F.col("part") == part).collect()  # bounded by index_bytes, or one item
+        counted = None
+        if common is not None:
+            known = common.filter(F.col("part") == part).collect()  # hashes of these items' texts
+            counted = [np.sort(np.array([r["hash"] for r in known if r["k"] == k], np.int64).view(np.uint64)) for k in range(len(_COMMON))]
+        index = spark.sparkContext.broadcast(build_index(sorted((r[0], [r[2], r[3]]) for r in held), counted))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = Searcher(index.value)
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            lo = 0
-            while lo < len(ids):
-                hi, held = lo, 0
-                while hi < len(ids) and (hi == lo or held < 4_000_000):  # characters searched at once
-                    held += len(texts[hi] or "")
-                    hi += 1
-                out = searcher.search(texts[lo:hi])
-                yield pa.RecordBatch.from_arrays([pa.array([ids[lo + d] for d, _ in out], pa.int64()), pa.array([n for _, n in out], pa.string())], ["doc_id", "instance_id"])
-                lo = hi
-
-    return documents.filter("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, instance_id string").distinct()
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            searcher = Searcher(index.value)
+            for b in batches:
+                ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+                lo = 0
+                while lo < len(ids):
+                    hi, held = lo, 0
+                    while hi < len(ids) and (hi == lo or held < 1_000_000):  # characters searched at once
+                        held += len(texts[hi] or "")
+                        hi += 1
+                    out = searcher.search(texts[lo:hi])
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[lo + d] for d, _ in out], pa.int64()), pa.array([n for _, n in out], pa.string())], ["doc_id", "instance_id"])
+                    lo = hi
+
+        got = docs.mapInArrow(run, "doc_id long, instance_id string")
+        found = got if found is None else found.unionByName(got)
+    return found.distinct()
