@@ -29,6 +29,13 @@ HAND = "import os\n\n\ndef a_function(values):\n    total = 0\n    for value in
         ("r/a.yml", "x: |\n" + "  8CsdKqN38sdkfjQ0sdf98sdfkjQWERsdfkjlwefsd0fjklwefjsdklfjwefkjsdlfkjwef\n" * 20, "data"),
         ("r/node_modules/pkg/a.py", HAND, "vendored"),
         ("r/vendors/a.py", HAND, None),
+        ("r/a.js", "function f(a){return a.b?a.b:1};var x=f(3);for(var i=0;i<9;i++)x[i]=f(i);export{x};" * 2, "minified"),  # short and minified
+        ("r/a.ts", "\n".join(f"export function getX{i:04}(m) {{\n  return m.s[{i}];\n}}" for i in range(20)), "generated"),
+        ("r/a_pb2.py", HAND, "generated"), ("r/a.g.ts", "const a = 1;\n", "generated"), ("r/generated_reports/a.py", HAND, None), ("r/pb2.py", HAND, None),
+        ("r/a.py", "# toolx output, source: a.spec\n" + HAND, "generated"), ("r/a.py", HAND + "# toolx: 12 rows written, 0 kept by hand\n", "generated"), ("r/a.py", "# Machine written from rows, changes will be overwritten.\n" + HAND, "generated"),
+        ("r/a.py", "# Not safe while another row is being written.\n" + HAND, None), ("r/a.py", "# Generate the row in place, and report how many were touched.\n" + HAND, None), ("r/a.py", "# Rows are written by the loader, do not change them by hand.\n" + HAND, None),
+        ("r/a.py", HAND * 2 + "# Code generated by toolx 1.2; DO NOT EDIT, says the other file.\n" + HAND * 2, None),  # a mention in the middle
+        ("r/a.py", "import b\n" + "12:01:33 [info] " + "words and more words of a log that goes on " * 3 + "\n", None),
         ("r/x.py", "", None),
     ],
 )
@@ -45,6 +52,19 @@ def test_not_handwritten_over_tables(spark):
     got = {r.path: r.why for r in H.not_handwritten(files, ents, up).collect()}
     assert got == {"r/c.py": "vendored", "r/meta.py": "generated"}
     assert {r.path for r in H.not_handwritten(files, ents.limit(0), up.limit(0)).collect()} == set()
+    notes = ["Machine-made from m.spec", "automatically created", "Rendered by toolx 2.1", "Written from a.spec; changes will be overwritten", "machine written", "Counts rows by day."]
+    many = spark.createDataFrame([(f"r/m{i}.py", HAND) for i in range(len(notes))], "path string, content string")
+    said = spark.createDataFrame([(f"r/m{i}.py", "<module>", n) for i, n in enumerate(notes)], "path string, name string, meta string")
+    assert {r.path for r in H.not_handwritten(many, said, up).collect()} == {f"r/m{i}.py" for i in range(len(notes) - 1)}
+
+
+def test_copies_of_any_size(spark):
+    licence = "\n".join(f"licence line {i} that every package holds" for i in range(30))
+    body = lambda k: "\n".join(f"{k}{i} = {i}" for i in range(12))
+    up = spark.createDataFrame([(f"p{k}", v, f"p{k}/u.py", f"{licence}\n{body(chr(97 + k))}\n" if k else "x = 1\ny = 2\n") for k in range(9) for v in ("1", "2", "3")], "package_name string, release_tag string, path string, content string")
+    rows = [("r/tiny.py", "x = 1\n\n  y = 2\r\n"), ("r/near.py", "x = 1\ny = 3\nz = 4\n"), ("r/licence.py", licence + "\n" + HAND), ("r/copy.py", body("c")), ("r/half.py", body("d").replace("= 1", "= 7")), ("r/few.py", "\n".join(body("e").split("\n")[:3]) + "\n" + HAND)]
+    got = {r.path for r in H.not_handwritten(spark.createDataFrame(rows, "path string, content string"), spark.createDataFrame([], "path string, name string, meta string"), up).collect()}
+    assert got == {"r/tiny.py", "r/copy.py", "r/half.py"}
     assert H.not_handwritten(files.limit(0), ents, up).count() == 0
 
 
