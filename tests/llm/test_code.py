@@ -44,8 +44,8 @@ def test_verdicts(path, text, want):
 
 
 def test_not_handwritten_over_tables(spark):
-    lines = [f"def upstream_{i}(value, other_{i}):\n    return value + other_{i} * {i}\n" for i in range(20)]
-    copy = "# local\n" + "\n".join(lines).replace("value + other_3", "value - other_3")
+    lines = [f"def upstream_{w}(value, other_{w}):\n    return value + other_{w} * {i}\n" for i, w in enumerate("abcdefghijklmnopqrst")]
+    copy = "# local\n" + "\n".join(lines).replace("value + other_d", "value - other_d")
     files = spark.createDataFrame([("r/a.py", HAND, "x"), ("r/c.py", copy, "x"), ("r/c.py", copy, "x"), ("r/n.py", None, "x"), (None, copy, "x"), ("r/meta.py", HAND, "x")], "path string, content string, why string")
     ents = spark.createDataFrame([("r/meta.py", "<module>", "toolx wrote this module from m.spec; edit the spec"), ("r/a.py", "f", "Code generated by x"), ("r/a.py", "<module>", None)], "path string, name string, meta string")
     up = spark.createDataFrame([("p", "1", "p/u.py", "\n".join(lines)), ("q", "1", "q/u.py", None)], "package_name string, release_tag string, path string, content string")
