@@ -59,10 +59,10 @@ def test_not_handwritten_over_tables(spark):
 
 
 def test_copies_of_any_size(spark):
-    licence = "\n".join(f"licence line {i} that every package holds" for i in range(30))
+    licence = "\n".join(f"licence line {w} that every package holds" for w in "abcdefghijklmnopqrstuvwxyz")
     body = lambda k: "\n".join(f"{k}{i} = {i}" for i in range(12))
-    up = spark.createDataFrame([(f"p{k}", v, f"p{k}/u.py", f"{licence}\n{body(chr(97 + k))}\n" if k else "x = 1\ny = 2\n") for k in range(9) for v in ("1", "2", "3")], "package_name string, release_tag string, path string, content string")
-    rows = [("r/tiny.py", "x = 1\n\n  y = 2\r\n"), ("r/near.py", "x = 1\ny = 3\nz = 4\n"), ("r/licence.py", licence + "\n" + HAND), ("r/copy.py", body("c")), ("r/half.py", body("d").replace("= 1", "= 7")), ("r/few.py", "\n".join(body("e").split("\n")[:3]) + "\n" + HAND)]
+    up = spark.createDataFrame([(f"p{k}", v, f"p{k}/u.py", f"{licence}\n{body(chr(97 + k))}\n" if k else "x = 1\ny = 2\nw = 5\n") for k in range(9) for v in ("1", "2", "3")], "package_name string, release_tag string, path string, content string")
+    rows = [("r/tiny.py", "x = 1\n\n  y = 2\r\nw  = 5"), ("r/near.py", "x = 1\ny = 3\nz = 4\n"), ("r/licence.py", licence + "\n" + HAND), ("r/copy.py", body("c")), ("r/half.py", body("d").replace("= 1", "= 7")), ("r/few.py", "\n".join(body("e").split("\n")[:3]) + "\n" + HAND)]
     got = {r.path for r in H.not_handwritten(spark.createDataFrame(rows, "path string, content string"), spark.createDataFrame([], "path string, name string, meta string"), up).collect()}
     assert got == {"r/tiny.py", "r/copy.py", "r/half.py"}
     assert H.not_handwritten(files.limit(0), ents, up).count() == 0
