@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import random
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,26 +54,29 @@ def medians(values: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def paired_interval(scores: DataFrame, a: str, b: str, metric: str, iterations: int = ITERATIONS, seed: int = SEED) -> DataFrame:
-    """n, difference, low, high, separates: how far arm ``a`` leads arm ``b`` in a metric over the queries both have.
+    """metric, n, difference, low, high, separates: how far arm ``a`` leads arm ``b`` over the queries both have.
 
     ``scores`` has arm, query, value. Queries are resampled in pairs, ``iterations`` times with a fixed seed; the
-    interval holds the middle 95 %. Fewer than two pairs give only ``n``. The pairs of an evaluation are few (one a
-    query) and go to one task, in the order of their query.
+    interval holds the middle 95 %. Fewer than two pairs give only ``n``. Pairs are counted by their difference
+    first: how often each comes up in a resample is a multinomial draw, so one task sees each difference once,
+    however many queries there are.
     """
-    wide = scores.filter(F.col("arm").isin(a, b) & F.col("value").isNotNull()).groupBy("query").pivot("arm", [a, b]).agg(F.avg("value")).filter(F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull())
-    pairs = wide.select(F.lit(1).alias("one"), "query", (F.col(f"`{a}`") - F.col(f"`{b}`")).alias("lead"))
+    pairs = scores.filter(F.col("arm").isin(a, b) & F.col("value").isNotNull()).groupBy("query").agg(F.avg(F.when(F.col("arm") == a, F.col("value"))).alias("a"), F.avg(F.when(F.col("arm") == b, F.col("value"))).alias("b"))
+    counted = pairs.select(F.round(F.col("a") - F.col("b"), 12).alias("lead")).filter("lead is not null").groupBy("lead").agg(F.count("*").alias("n"))
 
     def resample(rows: pd.DataFrame) -> pd.DataFrame:
-        lead = rows.sort_values("query")["lead"].tolist()
-        n = len(lead)
-        if n < 2:
-            return pd.DataFrame([[metric, n, None, None, None, None]], columns=["metric", "n", "difference", "low", "high", "separates"])
-        rng = random.Random(seed)
-        means = sorted(sum(lead[rng.randrange(n)] for _ in range(n)) / n for _ in range(iterations))
-        low, high = means[int(0.025 * iterations)], means[min(int(0.975 * iterations), iterations - 1)]
-        return pd.DataFrame([[metric, n, round(sum(lead) / n, 4), round(low, 4), round(high, 4), bool(low > 0 or high < 0)]], columns=["metric", "n", "difference", "low", "high", "separates"])
-
-    return pairs.groupBy("one").applyInPandas(resample, "metric string, n long, difference double, low double, high double, separates boolean")
+        rows = rows.sort_values("lead")
+        lead, times = rows["lead"].to_numpy(), rows["n"].to_numpy()
+        n = int(times.sum())
+        out = {"metric": [metric], "n": [n], "difference": [None], "low": [None], "high": [None], "separates": [None]}
+        if n > 1:
+            rng, block = np.random.default_rng(seed), max(1, 4_000_000 // len(lead))
+            means = np.concatenate([rng.multinomial(n, times / n, min(block, iterations - k)) @ lead / n for k in range(0, iterations, block)])
+            low, high = np.quantile(means, [0.025, 0.975], method="inverted_cdf").round(4)
+            out |= {"difference": [round(float(times @ lead) / n, 4)], "low": [low], "high": [high], "separates": [bool(low > 0 or high < 0)]}
+        return pd.DataFrame(out)
+
+    return counted.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(resample, "metric string, n long, difference double, low double, high double, separates boolean")
 
 
 def stratified(rows: DataFrame, stratum: str, key: str, n: int) -> DataFrame:

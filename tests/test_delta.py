@@ -14,13 +14,13 @@ from spandrel.operators.extraction import extract
 from spandrel.operators.resolve import resolve
 
 BASE = {
-    "billing.py": "def total(items):\n    return sum(items)\n\ndef helper(items):\n    return list(items)\n\ndef legacy(items):\n    return items\n",
-    "orders.py": "from billing import total, legacy\n\ndef process(items):\n    return total(items)\n\ndef audit(items):\n    return legacy(items)\n",
-    "report.py": "from orders import process\n\ndef summary(items):\n    return process(items)\n",
-    "alpha.py": "from billing import total\n\ndef use_alpha(items):\n    return total(items)\n",
-    "beta.py": "from billing import total\n\ndef use_beta(items):\n    return total(items)\n",
+    "gauge.py": "def rainfall(drops):\n    return max(drops)\n\ndef listing(drops):\n    return sorted(drops)\n\ndef dewpoint(drops):\n    return drops[0]\n",
+    "forecast.py": "from gauge import rainfall, dewpoint\n\ndef predict(week):\n    return rainfall(week)\n\ndef verify(week):\n    return dewpoint(week)\n",
+    "bulletin.py": "from forecast import predict\n\ndef announce(week):\n    return predict(week)\n",
+    "coast.py": "import gauge\n\ndef tide(week):\n    return gauge.rainfall(week)\n",
+    "ridge.py": "from gauge import rainfall as wet\n\ndef snow(week):\n    return wet(week)\n",
 }
-HEAD = {**BASE, "billing.py": "def total(items):\n    return sum(items) + 0\n\ndef helper(items):\n    return list(items)\n\ndef fresh(items):\n    return items[:1]\n"}
+HEAD = {**BASE, "gauge.py": "def rainfall(drops):\n    return max(drops) + 1\n\ndef listing(drops):\n    return sorted(drops)\n\ndef gusts(drops):\n    return drops[-1]\n"}
 
 
 def diff_of(old: str, new: str, path: str, n: int = 3) -> str:
@@ -60,17 +60,17 @@ def frame(spark, tree):
 
 
 def test_delta_of_a_change(spark):
-    diffs = spark.createDataFrame([("1", diff_of(BASE["billing.py"], HEAD["billing.py"], "billing.py"))], "id string, diff string")
+    diffs = spark.createDataFrame([("1", diff_of(BASE["gauge.py"], HEAD["gauge.py"], "gauge.py"))], "id string, diff string")
     back = D.base_files(frame(spark, HEAD), diffs).collect()
-    assert [(r.path, r.content, r.status) for r in back] == [("billing.py", BASE["billing.py"], "ok")]
+    assert [(r.path, r.content, r.status) for r in back] == [("gauge.py", BASE["gauge.py"], "ok")]
     changes = D.touched(diffs, frame(spark, HEAD), frame(spark, BASE)).cache()
-    assert {(r.name, r.change) for r in changes.collect()} == {("total", "modified"), ("legacy", "deleted"), ("fresh", "added")}
+    assert {(r.name, r.change) for r in changes.collect()} == {("rainfall", "modified"), ("dewpoint", "deleted"), ("gusts", "added")}
     e = resolve(extract(frame(spark, HEAD)))
-    links = e.selectExpr("src_path", "src_name", "kind", "dst_path", "dst_name", "case when external = 'billing.legacy' then 'legacy' else external end as ext_name", "line").cache()
+    links = e.selectExpr("src_path", "src_name", "kind", "dst_path", "dst_name", "case when external = 'gauge.dewpoint' then 'dewpoint' else external end as ext_name", "line").cache()
     shown, risk = D.delta(changes, links)
     got = {r.name: (r.radius, r.dependents, r.load_bearing) for r in shown.collect()}
-    assert got["total"] == (4, 3, True) and got["fresh"] == (0, 0, False) and got["legacy"][0] == 1
-    assert {(r.path, r.name, r.hops) for r in risk.collect()} == {("orders.py", "process", 1), ("report.py", "summary", 2), ("alpha.py", "use_alpha", 1), ("beta.py", "use_beta", 1), ("orders.py", "audit", 1)}
+    assert got["rainfall"] == (4, 3, True) and got["gusts"] == (0, 0, False) and got["dewpoint"][0] == 1
+    assert {(r.path, r.name, r.hops) for r in risk.collect()} == {("forecast.py", "predict", 1), ("bulletin.py", "announce", 2), ("coast.py", "tide", 1), ("ridge.py", "snow", 1), ("forecast.py", "verify", 1)}
 
 
 def test_overlap_against_brute_force_and_innermost(spark):
@@ -86,9 +86,9 @@ def test_overlap_against_brute_force_and_innermost(spark):
 
 
 def test_truth_of_a_patch(spark):
-    diffs = spark.createDataFrame([("i", diff_of(BASE["billing.py"], HEAD["billing.py"], "billing.py")), ("none", None)], "id string, diff string")
+    diffs = spark.createDataFrame([("i", diff_of(BASE["gauge.py"], HEAD["gauge.py"], "gauge.py")), ("none", None)], "id string, diff string")
     base = spark.createDataFrame([("i", p, c) for p, c in BASE.items()], "id string, path string, content string")
-    assert {(r.path, r.name) for r in D.truth(diffs, base).collect()} == {("billing.py", "total"), ("billing.py", "legacy")}
+    assert {(r.path, r.name) for r in D.truth(diffs, base).collect()} == {("gauge.py", "rainfall"), ("gauge.py", "dewpoint")}
 
 
 def test_applying_agrees_with_git(tmp_path):
