@@ -71,8 +71,10 @@ def says_something(doc: str, name: str, params: tuple[str, ...] = ()) -> bool:
     while main and _OTHER.search(main[0]):
         main.pop(0)
     text = " ".join(main)
-    if main and (_LATER.search(text[:160]) or all(_CODE.search(x) for x in main)):
+    if main and (_LATER.search(re.split(r"(?<=[.!?])\s", text, maxsplit=1)[0]) or all(_CODE.search(x) for x in main)):
         return False
+    # elsewhere a note that more is to come takes its own sentence only
+    main = [x for x in re.split(r"(?<=[.!?])\s+", text) if x and not _LATER.search(x)]
     last = name.rsplit(".", 1)[-1]
     known = {_stem(p.lower()) for n in (name, *params) for p in _PARTS.findall(n)}
     known |= {re.sub(r"\W|_", "", n).lower() for n in (last, *params)}
