@@ -31,11 +31,20 @@ def test_cuts_are_certain():
     inside = C.token_pairs(ranks)
     for left, right in [("a", " "), (".", "\n"), ("9", "\t")]:
         assert not inside[ord(left), ord(right)]
-    assert C.Encoder(ranks).cut("ab  cd\n\nef\u00a0 g") == ["ab", "  cd", "\n\nef\u00a0 g"]
+    e = C.Encoder(ranks)
+    assert e.cut("ab  cd\n\nef\u00a0 g") == ["ab", "  cd", "\n\nef", "\u00a0 g"]
+    assert len(e.cut("foo.bar(baz)foo.bar(baz)")) > 4 and len(e.cut("漢字仮名交じり文" * 3)) > 6  # not just at white space
     joined = dict(ranks)
-    joined[b"a b"] = len(joined)
-    with pytest.raises(ValueError, match="spans a word"):
-        C.Encoder(joined)
+    joined[b"b "] = len(joined)
+    assert C.Encoder(joined).cut("ab cd ef") == ["ab cd", " ef"]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.text(max_size=60), st.sampled_from(["!'s a", "\t\tx", "1's", "é'll", "''t", " \u3000x", "\x1f'd", "a\u0301'm", "minified(function(){return[1]})", "漢字'sかな"]), st.text(max_size=20))
+def test_any_text_is_encoded_as_by_the_plain_tokenizer(before, odd, after):
+    e = C.encoder(VOCABULARY)
+    text = before + odd + after
+    assert e.encode(text) == e.base.encode_ordinary(text) and "".join(e.cut(text)) == text
 
 
 def test_encoding_a_table(spark):
