@@ -4,6 +4,7 @@ import itertools
 
 import pytest
 
+import valid_sources
 from spandrel.llm import handwritten as H
 from spandrel.llm import syntax as S
 from spandrel.llm.chart import Grammar
@@ -112,6 +113,7 @@ VALID = {
     "Dockerfile": ['FROM base:1 AS b\nWORKDIR /x\nENV A=1\nCOPY a b ./c/\nRUN mkdir -p /v && \\\n    touch /w\nCMD ["python", "a.py"]\n'],
     "a.html": ['<!doctype html>\n<html>\n<head>\n  <title>t</title>\n  <script src="./a.ts"></script>\n</head>\n<body>\n  <section id="s">\n    <p>Text, and more.</p>\n    <br>\n  </section>\n</body>\n</html>\n'],
 }
+CORPUS = [(path, text) for name, path in (("TS", "a.ts"), ("TSX", "a.tsx"), ("HCL", "a.tf"), ("YAML", "a.yml"), ("DOCKER", "Dockerfile"), ("HTML", "a.html"), ("PY", "a.py")) for text in getattr(valid_sources, name).strip("\n").split("\n===\n")]
 BROKEN = {
     "a.py": [("def f(a:\n    return 1\n", "local"), ("<<<<<<< HEAD\nx = 1\n=======\nx = 2\n>>>>>>> b\n", "conflict"), ("def f():\n", "truncation"), ('x = """no end\n', None), ("<!doctype html>\n<html>\n<body>\n</body>\n</html>\n", "mismatch"), ("if x:\n        a = 1\n   b = 2\n", None)],
     "a.ts": [("export function f() {\n  return (1;\n}\n", None), ("export function f() {\n  return 1;\n", "truncation"), ("function f() {\n<<<<<<< a\n  x();\n}\n", "conflict"), ("import json\n\ndef f(a):\n    return a\n", None), ("const a = `no end\n", None), ("11:14:43 [warn] We debug the bitmap now.\n13:24:45 [info] Please move it.\n", None), ("const a = ;\n", None), ("f(a b);\n", None)],
@@ -130,6 +132,27 @@ def test_valid_sources_cost_nothing(path, text):
     assert S.check(path, text.replace("\n", "\r\n")).cost == 0
 
 
+@pytest.mark.parametrize("path", sorted({p for p, _ in CORPUS}))
+def test_valid_corpus_costs_nothing_and_a_lost_bracket_something(path):
+    for text in (t for p, t in CORPUS if p == path):
+        assert S.check(path, text).cost == 0, text
+        for at in [i for i, c in enumerate(text) if c in "()[]{}"][:6]:
+            if path in ("a.ts", "a.tf") and not set("'\"`/<") & set(text):  # a bracket in a string, a pattern or a type is text
+                assert S.check(path, text[:at] + text[at + 1 :]).cost, (text, at)
+
+
+def test_long_and_deep_sources():
+    assert S.check("a.ts", "const a = [" + "1, -2, f(3), " * 4000 + "];\n").cost == 0
+    assert S.check("a.ts", "const a = [" + "1, -2, f(3), " * 4000 + "4 5];\n").cost > 0
+    assert S.check("a.tf", "# " + "x" * 9000 + ' "{\nvariable "a" {\n}\n').cost == 0
+    assert S.check("a.py", "x = " + "(" * 3000 + ")" * 3000 + "\n").cost == 0  # beyond the parser: no case
+    assert S.check("a.py", "f(" + "a, " * 300 + "b c)\n").cost > 0
+    many = S.check("a.py", "\n".join("x = = 1" for _ in range(90)) + "\n")
+    assert many.cost >= 90 and len(many.lines) == 90 and many.why == "mismatch"
+    assert S.check("a.ts", "f();\n" * 30 + ">>>>>>> b\n" + "g(;\n" * 1).why == "conflict"
+    assert S.check("a.ts", "/*\n=======\n*/\n" + "f();\n" * 30 + "g(;\n" + "f();\n" * 30).why == "local"  # marks in a comment
+
+
 @pytest.mark.parametrize("path, text, why", [(p, t, w) for p, ts in BROKEN.items() for t, w in ts])
 def test_broken_sources_cost_something(path, text, why):
     got = S.check(path, text)
