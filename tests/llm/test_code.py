@@ -150,7 +150,7 @@ def test_long_and_deep_sources():
     many = S.check("a.py", "\n".join("x = = 1" for _ in range(90)) + "\n")
     assert many.cost >= 90 and len(many.lines) == 90 and many.why == "mismatch"
     assert S.check("a.ts", "f();\n" * 30 + ">>>>>>> b\n" + "g(;\n" * 1).why == "conflict"
-    assert S.check("a.ts", "/*\n=======\n*/\n" + "f();\n" * 30 + "g(;\n" + "f();\n" * 30).why == "local"  # marks in a comment
+    assert S.check("a.ts", "/*\n=======\n*/\n" + "f();\n" * 30 + "g(a b);\n" + "f();\n" * 30).why == "local"  # marks in a comment
 
 
 @pytest.mark.parametrize("path, text, why", [(p, t, w) for p, ts in BROKEN.items() for t, w in ts])
