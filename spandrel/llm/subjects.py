@@ -19,8 +19,10 @@ SPACE = 1 << 18  # hashed terms
 DIMS = 256  # of a document vector
 DEPTH = 5  # levels of bisection: up to 32 leaves
 ROUNDS = 2  # passes of 2-means at each level
+SHARPNESS = 20.0  # of a document's shares in leaves
 REFINE = 2  # passes that sharpen term weights by segments
 LEAST = 0.2  # "about a quarter": headings and boilerplate dilute a quarter of the prose to some .22 of all characters
+LEAST_DOCS = 3  # documents that hold a term of the vocabulary
 MAX_LABELS = 50_000  # labelled documents used; a bounded sample of hand-given labels, the smallest ids first
 _BLOCK = 1 << 15
 
@@ -114,8 +116,9 @@ def _unpack(b: pa.RecordBatch) -> Batch:
     )
 
 
-def _sums(df: DataFrame, fold: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
-    """Sum over all rows of arrays of ``size``: folded within a split, blocks of splits added in tasks.
+def _sums(df: DataFrame, fold: Callable[[pa.RecordBatch], np.ndarray | tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
+    """Sum over all rows of arrays of ``size`` (or of places and what is added there): folded within a split, blocks of
+    splits added in tasks.
 
     The driver gets ``size`` numbers, which never depends on the number of documents.
     """
@@ -123,7 +126,11 @@ def _sums(df: DataFrame, fold: Callable[[pa.RecordBatch], np.ndarray], size: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for b in batches:
-            total += fold(b)
+            part = fold(b)
+            if isinstance(part, tuple):
+                np.add.at(total, *part)
+            else:
+                total += part
         for k in range(0, size, _BLOCK):
             part = total[k : k + _BLOCK]
             at = np.nonzero(part)[0]
@@ -172,6 +179,13 @@ def _leaves(v: np.ndarray, tree: list[np.ndarray]) -> np.ndarray:
     return leaf
 
 
+def _memberships(v: np.ndarray, tree: list[np.ndarray]) -> np.ndarray:
+    """How much of each vector belongs to each leaf: softened likeness to the leaves' centres."""
+    like = v @ tree[-1].reshape(-1, v.shape[1]).T / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-6)
+    out = np.exp((like - like.max(axis=1, keepdims=True)) * SHARPNESS)
+    return out / out.sum(axis=1, keepdims=True)
+
+
 def _by_group(v: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
     """Sum of the rows of each group."""
     order = np.argsort(group, kind="stable")
@@ -234,13 +248,14 @@ class Model:
     weight: np.ndarray  # (vocabulary, subjects): logarithm of how much more often than elsewhere, 0 if not telling
     tree: list[np.ndarray]
     mixture: np.ndarray  # (leaves, subjects)
+    idf: np.ndarray  # (SPACE,)
 
 
-def _segment_subject(x: Batch, place: np.ndarray, weight: np.ndarray, floor: float) -> np.ndarray:
+def _segment_subject(x: Batch, place: np.ndarray, weight: np.ndarray, floor: float, leaf: np.ndarray | None = None) -> np.ndarray:
     """Subject of each segment, -1 for none: the largest sum of weights, if it is clear.
 
     Words of several subjects are read as the document's own: sums count by half, and up to as much again as the
-    document's mixture has of the subject.
+    mixture of its leaves (``leaf``, documents by subjects) and that of its own words have of the subject.
     """
     out = np.full(len(x.chars), -1)
     telling = np.zeros(len(place), bool)
@@ -255,6 +270,8 @@ def _segment_subject(x: Batch, place: np.ndarray, weight: np.ndarray, floor: flo
         start = np.nonzero(np.diff(owner, prepend=-1))[0]
         mixture = np.add.reduceat(score, start, axis=0)
         mixture /= mixture.sum(axis=1, keepdims=True)
+        if leaf is not None:
+            mixture = (mixture + leaf[owner[start]]) / 2
         score *= 0.5 + np.repeat(mixture, np.diff(np.append(start, len(owner))), axis=0)
         out[segment[first]] = np.where(clear, score.argmax(axis=1), -1)
     return out
@@ -269,7 +286,7 @@ def fit(documents: DataFrame, subjects: DataFrame, labels: DataFrame, scratch: S
     n = max(df[SPACE], 1.0)
     df = df[:SPACE]
     place = np.full(SPACE, -1, np.int32)
-    idf = np.where((df >= max(3, n * 1e-4)) & (df <= 0.5 * n), np.log(n / np.maximum(df, 1)), 0.0)
+    idf = np.where((df >= LEAST_DOCS) & (df <= 0.5 * n), np.log(n / np.maximum(df, 1)), 0.0)
     size = int((idf > 0).sum())
     place[idf > 0] = np.arange(size)
 
@@ -292,16 +309,12 @@ def fit(documents: DataFrame, subjects: DataFrame, labels: DataFrame, scratch: S
 
     k = len(names)
 
-    def by_leaf(b: pa.RecordBatch) -> np.ndarray:
+    def by_leaf(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         doc, term, n_ = bags = _bags(b, 1)
         leaf = _leaves(np.rint(_vectors(bags, idf, b.num_rows) * 250).astype(np.float32), tree)
         keep = place[term] >= 0
-        out = np.bincount(leaf[doc[keep]] * size + place[term[keep]], n_[keep], leaves * size)
-        votes = np.zeros((leaves, k))
-        for row, i in enumerate(b.column(0).to_pylist()):
-            for s in known.get(i, ()):
-                votes[leaf[row], s] += 1
-        return np.concatenate([out, votes.ravel()])
+        votes = np.array([leaves * size + leaf[row] * k + s for row, i in enumerate(b.column(0).to_pylist()) for s in known.get(i, ())], np.int64)
+        return np.concatenate([leaf[doc[keep]] * size + place[term[keep]], votes]), np.concatenate([n_[keep], np.ones(len(votes))])
 
     got = _sums(read.select("doc_id", "bag"), by_leaf, leaves * size + leaves * k)
     count, votes = got[: leaves * size].reshape(leaves, size), got[leaves * size :].reshape(leaves, k)
@@ -326,15 +339,16 @@ def fit(documents: DataFrame, subjects: DataFrame, labels: DataFrame, scratch: S
     weight = _weights(own, count.sum(0), 2.0)
     for _ in range(REFINE):
 
-        def by_segment(b: pa.RecordBatch, weight=weight) -> np.ndarray:
+        def by_segment(b: pa.RecordBatch, weight=weight) -> tuple[np.ndarray, np.ndarray]:
             x = _unpack(b)
             subject = _segment_subject(x, place, weight, 1.0)[x.segment]
             at = place[x.term]
-            return np.bincount((at + size * (subject + 1))[at >= 0], minlength=size * (k + 1)).astype(float)
+            places, times = np.unique((at + size * (subject + 1))[at >= 0], return_counts=True)
+            return places, times
 
         own = _sums(read.select("doc_id", "terms", "segments"), by_segment, size * (k + 1)).reshape(k + 1, size)
         weight = _weights(own[1:], own.sum(0), 3.0)
-    return Model(names, place, weight, tree, mixture), read
+    return Model(names, place, weight, tree, mixture, idf), read
 
 
 def _weights(own: np.ndarray, total: np.ndarray, least: float) -> np.ndarray:
@@ -354,8 +368,9 @@ def subject_shares(documents: DataFrame, subjects: DataFrame, labels: DataFrame)
     256 signed hash buckets, normalised) are clustered by bisecting k-means over all documents, 5 levels deep.
     3. A leaf's mixture of subjects comes from those of its discriminative terms that the subjects' descriptions
     name, and from at most 50,000 labelled documents. 4. Terms get weights by subject through the mixtures of the
-    leaves they occur in, sharpened in two passes over segments; a segment belongs to the subject with the
-    largest sum of weights, or to none.
+    leaves they occur in, sharpened in two passes over segments. 5. A document shares in the leaves by its
+    likeness to their centres, and so in their subjects; a segment belongs to the subject with the largest sum of
+    weights times what the document's leaves and own words have of it, or to none.
 
     Nothing but sums over terms and centres, whose size doesn't depend on the corpus, comes to the driver.
 
@@ -367,13 +382,15 @@ def subject_shares(documents: DataFrame, subjects: DataFrame, labels: DataFrame)
     if subjects.filter("subject is not null").isEmpty():
         return documents.sparkSession.createDataFrame([], "doc_id long, subject string, share double")
     model, read = fit(documents, subjects, labels, scratch)
-    names, known = model.subjects, documents.sparkSession.sparkContext.broadcast((model.place, model.weight))
+    names, known = model.subjects, documents.sparkSession.sparkContext.broadcast((model.place, model.weight, model.idf.astype(np.float32), model.tree, model.mixture.astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(names)
+        place, weight, idf, tree, mixture = known.value
         for b in batches:
             x = _unpack(b)
-            subject = _segment_subject(x, *known.value, 1.0)
+            leaf = _memberships(_vectors(_bags(b, 3), idf, b.num_rows), tree) @ mixture
+            subject = _segment_subject(x, place, weight, 1.0, leaf)
             share = np.zeros((b.num_rows, k))
             at = subject >= 0
             np.add.at(share, (x.segment_doc[at], subject[at]), x.chars[at])
@@ -381,7 +398,7 @@ def subject_shares(documents: DataFrame, subjects: DataFrame, labels: DataFrame)
             row, col = np.nonzero(share)
             yield pa.RecordBatch.from_arrays([pa.array([x.ids[r] for r in row], pa.int64()), pa.array([names[c] for c in col], pa.string()), pa.array(share[row, col])], ["doc_id", "subject", "share"])
 
-    return read.select("doc_id", "terms", "segments").mapInArrow(run, "doc_id long, subject string, share double").groupBy("doc_id", "subject").agg(F.avg("share").alias("share"))
+    return read.select("doc_id", "terms", "segments", "bag").mapInArrow(run, "doc_id long, subject string, share double").groupBy("doc_id", "subject").agg(F.avg("share").alias("share"))
 
 
 def main_subjects(documents: DataFrame, subjects: DataFrame, labels: DataFrame, least: float = LEAST) -> DataFrame:
