@@ -8,9 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spandrel.extract.patches import PatchError, changed, parse, unapply
+from spandrel.extract.patches import PatchError, anchored, apply, changed, parse, unapply
 from spandrel.operators.extraction import extract
 from spandrel.operators.graph import LOAD_BEARING, MODULE, SCOPES, radius
+from spandrel.session import Scratch
 from spandrel.tables import node_key
 
 HEAVY = 3  # direct dependents that make an entity load-bearing
@@ -166,15 +167,70 @@ def class_of_change(old: DataFrame, new: DataFrame, key: str, value: str) -> Dat
     return a.join(b, key, "full_outer").select(key, change.alias("change"))
 
 
+PYTHON = ("function", "class", "method")
+
+
+def patched_files(instances: DataFrame, base: DataFrame) -> DataFrame:
+    """id, path, side (old, new), content, lines (changed lines of that side), status of the files that each instance's diff (id, diff) changes.
+
+    ``base`` has id, path, content before the diff. Hunks that have moved are anchored anew, so lines are those where
+    the old lines really stand; ``status`` is ok, or ``failed`` where a hunk fits nowhere (then contents and lines are
+    those stated). A file that the diff adds has no old side, one that it deletes no new one.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, d.old_path if d.status != "added" else d.path, k) for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k, d in enumerate(parse(text))]
+            cols = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32()))], ["id", "path", "nth"])
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, nth, text, content in zip(*(c.to_pylist() for c in b.columns)):
+                d = parse(text)[nth]
+                d = d._replace(old_path=d.path) if d.status == "added" else d
+                status, new, at = "ok", None, d
+                try:
+                    at = anchored(content or "", d)
+                    new = apply(content or "", at)
+                except PatchError:
+                    status = "failed"
+                removed, added, anchors = changed(at)
+                if d.status != "added":
+                    rows.append((i, d.old_path, "old", content, sorted({*removed, *anchors}), status))
+                if d.status != "deleted":
+                    rows.append((i, d.path, "new", new, added, status))
+            cols = list(zip(*rows)) or [()] * 6
+            types = [pa.string()] * 4 + [pa.list_(pa.int32()), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["id", "path", "side", "content", "lines", "status"])
+
+    diffs = instances.filter("diff is not null").select(F.col("id").cast("string").alias("id"), "diff").distinct()
+    parts = diffs.mapInArrow(split, "id string, path string, nth int")
+    held = parts.join(base.select(F.col("id").cast("string").alias("id"), "path", "content"), ["id", "path"], "left").join(diffs, "id")
+    return held.select("id", "nth", "diff", "content").mapInArrow(sides, "id string, path string, side string, content string, lines array<int>, status string")
+
+
 def truth(instances: DataFrame, base: DataFrame) -> DataFrame:
-    """id, path, name, is_added: what a gold patch changes: the innermost entity around each changed or anchored old
-    line, and entities that only exist after it.
+    """id, path, name, is_added: what a gold patch changes, the innermost entity around each changed line.
+
+    Old lines (removed, or those that additions follow) are looked up before the patch, and added lines after it; an
+    entity that only the new side has ``is_added``. A line outside of any entity stands for the file (``<module>``).
 
     ``instances`` has id, diff; ``base`` has id, path, content before the patch. Kept apart from what is judged by it.
     """
-    lines = changed_lines(instances).filter("side in ('old', 'anchor') and line is not null").select("id", "path", "line").distinct()
-    files = base.select(F.concat_ws("\u0001", "id", "path").alias("path"), "content")
-    spans = extract(files).entities.filter(~F.col("name").isin(*SCOPES) & F.col("kind").isin("function", "class", "method"))
-    cut = F.split("path", "\u0001", 2)
-    spans = spans.select(cut[0].alias("id"), cut[1].alias("path"), "name", F.col("line").alias("start"), F.greatest("line", "last").alias("stop"))
-    return innermost(lines, spans, "id", "path").filter("owner is not null").select("id", "path", F.col("owner").alias("name"), F.lit(False).alias("is_added")).distinct()
+    scratch = Scratch(instances.sparkSession)
+    files = scratch.keep(patched_files(instances, base))
+    key = F.concat_ws("\u0001", "side", "id", "path")
+    found = extract(files.filter("content is not null").select(key.alias("path"), "content")).entities.filter(~F.col("name").isin(*SCOPES) & F.col("kind").isin(*PYTHON))
+    cut = F.split("path", "\u0001", 3)
+    spans = scratch.keep(found.select(cut[0].alias("side"), cut[1].alias("id"), cut[2].alias("path"), "name", F.col("line").alias("start"), F.greatest("line", "last").alias("stop")))
+    lines = files.select("side", "id", "path", F.explode("lines").alias("line")).distinct()
+    owned = innermost(lines, spans, "side", "id", "path").select("side", "id", "path", F.coalesce("owner", F.lit(MODULE)).alias("name")).distinct()
+    had = spans.filter("side = 'old'").select("id", "path", "name").distinct()
+    old = owned.filter("side = 'old'").select("id", "path", "name")
+    # of the new side only what was not there before counts, as its other lines have their place on the old side
+    new = owned.filter((F.col("side") == "new") & (F.col("name") != MODULE)).select("id", "path", "name").join(had, ["id", "path", "name"], "left_anti")
+    fresh = files.filter("side = 'new'").select("id", "path").join(files.filter("side = 'old'").select("id", "path"), ["id", "path"], "left_anti").withColumn("name", F.lit(MODULE))
+    added = new.unionByName(fresh).distinct().withColumn("is_added", F.lit(True))
+    return old.withColumn("is_added", F.lit(False)).unionByName(added).select("id", "path", "name", "is_added")

@@ -16,9 +16,10 @@ from spandrel.session import Scratch
 
 _ROW = (
     "path string, part string, language string, version string, name string, kind string, line int, last int, meta string, doc_kind string, parent string, "
-    "module string, member string, style string, star boolean, ord int, target string, resolve string, only array<string>, unresolved string"
+    "module string, member string, style string, star boolean, ord int, target string, resolve string, only array<string>, unresolved string, "
+    "delivery struct<hash:string,row:bigint>"
 )
-_TYPES = [pa.string()] * 6 + [pa.int32()] * 2 + [pa.string()] * 6 + [pa.bool_(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
+_TYPES = [pa.string()] * 6 + [pa.int32()] * 2 + [pa.string()] * 6 + [pa.bool_(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.struct([("hash", pa.string()), ("row", pa.int64())])]
 _NAMES = [x.split()[0] for x in _ROW.split(", ")]
 
 
@@ -59,20 +60,24 @@ def _rows(path: str, text: str, languages: tuple[Language, ...]) -> Iterator[dic
 def extract(files: DataFrame, languages: tuple[Language, ...] = BUILT_IN) -> Extracted:
     """Read every file (path, content) that a language claims.
 
-    Narrow: a worker reads a file by itself; one that it can't read is recorded as failed and has only its module.
-    Rows that repeat a path count once (the smallest content); null contents are paths without findings.
+    A worker reads a file by itself, in one pass that shuffles no text; a file that it can't read is recorded as
+    failed and has only its module. Of rows that repeat a path one counts (the smallest hash of the content), which is
+    settled among what was found; null contents are paths without findings.
     """
     scratch = Scratch(files.sparkSession)
     known = files.filter("path is not null")
-    one = known.filter("content is not null").groupBy("path").agg(F.min("content").alias("content"))
+    one = known.filter("content is not null").select("path", "content", F.struct(F.sha2("content", 256).alias("hash"), F.monotonically_increasing_id().alias("row")).alias("delivery"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [r for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in _rows(p, t, languages)]
+            rows = [{**r, "delivery": d} for p, t, d in zip(*(c.to_pylist() for c in b.columns)) for r in _rows(p, t, languages)]
             yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in zip(_NAMES, _TYPES)], _NAMES)
 
     all_ = scratch.keep(one.mapInArrow(run, _ROW), "part")
-    of = lambda part: all_.filter(F.col("part") == part)
+    heard = all_.filter("part = 'file'").groupBy("path").agg(F.min("delivery").alias("delivery"), F.count("*").alias("times"))
+    again = scratch.keep(heard.filter("times > 1").select("path", F.col("delivery").alias("first")))  # paths that were delivered more than once
+    kept = all_.join(again, "path", "left").filter("first is null or first = delivery").drop("first", "delivery")
+    of = lambda part: kept.filter(F.col("part") == part)
     spark = files.sparkSession
     kinds = spark.createDataFrame([(x.name, x.suffix, x.index, x.own) for x in languages], "language string, suffix string, index string, own string")
     got = of("file").select("path", "language", "version", F.col("kind").alias("status"), F.col("meta").alias("error")).join(F.broadcast(kinds), "language")

@@ -15,8 +15,6 @@ from spandrel.operators.extraction import Extracted
 from spandrel.operators.graph import MODULE
 from spandrel.session import Scratch
 
-ROUNDS = 9  # re-exports and star imports that a name is followed through
-
 
 def _candidates(module: Column, source: Column, style: Column, suffix: Column, index: Column) -> Column:
     """Paths that a module may be, best first: as a path (itself, with the suffix, its index file) or dotted."""
@@ -35,7 +33,7 @@ def _meanings(asked: DataFrame, ents: DataFrame, paths: DataFrame, bound: DataFr
     todo = scratch.keep(asked.distinct())
     every, links = todo, []
     defined = ents.select("path", "name", F.col("path").alias("in_path"), F.col("name").alias("in_name"))
-    for _ in range(ROUNDS):
+    while True:  # a request is made once, so loops of imports end as well
         open_ = todo.join(defined.select("in_path", "in_name"), ["in_path", "in_name"], "left_anti")
         named = open_.join(bound.select(F.col("src_path").alias("in_path"), F.col("local").alias("in_name"), "member", "cands"), ["in_path", "in_name"])
         named = named.select("in_path", "in_name", F.posexplode("cands").alias("ord", "to_path"), F.coalesce("member", F.lit(MODULE)).alias("to_name"))

@@ -13,6 +13,7 @@ from spandrel.operators import graph as G
 from spandrel.operators.extraction import extract
 from spandrel.operators.resolve import resolve
 from spandrel.session import shared_dir
+from spandrel.sources.tree import candidates
 from spandrel.streaming import refresh as S
 from spandrel.tables import table
 
@@ -107,10 +108,15 @@ def d_still_naming(spark: SparkSession, d: str) -> DataFrame:
 
 
 def i_refresh(spark: SparkSession, d: str) -> DataFrame:
-    """change, n: files seen in the second half against those known from the first deliveries."""
-    f = table(spark, d, "files").select("path", "hash", "size", "mtime_ns", "recipe_version").distinct()
-    known = f.filter(F.length("path") % 5 != 0).withColumn("mtime_ns", F.when(F.length("path") % 3 == 0, F.col("mtime_ns") + 1).otherwise(F.col("mtime_ns")))
-    listed = f.filter(F.length("path") % 7 != 0).withColumn("hash", F.when(F.length("path") % 6 == 0, F.lit("x")).otherwise(F.col("hash")))
+    """change, n: the last delivery of each file against the first one of the path below another repository's name.
+
+    A file that is alone under its name is new or deleted; of those that are not, content and times differ.
+    """
+    cols = ("hash", "size", "mtime_ns", "recipe_version")
+    f = table(spark, d, "files").filter("path is not null").groupBy("path").agg(F.min(F.struct("loaded_at", *cols)).alias("first"), F.max(F.struct("loaded_at", *cols)).alias("last"))
+    beside = f.withColumn("base", F.regexp_replace("path", "^[^/]*/[^/]*/", "")).groupBy("base").agg(F.min(F.struct("path", "first")).alias("k"), F.max(F.struct("path", "last")).alias("l"), F.count("*").alias("n"))
+    known = beside.select(F.col("base").alias("path"), *(F.col(f"k.first.{c}").alias(c) for c in cols)).unionByName(f.select("path", *(F.col(f"first.{c}").alias(c) for c in cols)))
+    listed = beside.filter("n > 1").select(F.col("base").alias("path"), *(F.col(f"l.last.{c}").alias(c) for c in cols)).unionByName(f.select("path", *(F.col(f"last.{c}").alias(c) for c in cols)))
     return S.changes(listed, known).groupBy("change").agg(F.count("*").alias("n"))
 
 
@@ -154,9 +160,11 @@ def u_difference(spark: SparkSession, d: str) -> DataFrame:
 
 def u_subset(spark: SparkSession, d: str) -> DataFrame:
     """repo, subset, equal: whether a repository's document paths are among, or just, its files."""
-    f = table(spark, d, "files").groupBy("repo").agg(F.collect_set("path").alias("a"))
-    x = table(spark, d, "documents").filter("path is not null and source = 'source_file'").groupBy("repo").agg(F.collect_set("path").alias("b"))
-    return f.join(x, "repo").select("repo", (F.size(F.array_except("b", "a")) == 0).alias("subset"), (F.array_sort("a") == F.array_sort("b")).alias("equal"))
+    f = table(spark, d, "files").select("repo", "path", F.lit(1).alias("a"), F.lit(0).alias("b"))
+    x = table(spark, d, "documents").filter("path is not null and source = 'source_file'").select("repo", "path", F.lit(0).alias("a"), F.lit(1).alias("b"))
+    held = f.unionByName(x).groupBy("repo", "path").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    sums = held.groupBy("repo").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(F.col("a") * F.col("b")).alias("both")).filter("a > 0 and b > 0")
+    return sums.select("repo", (F.col("both") == F.col("b")).alias("subset"), ((F.col("both") == F.col("b")) & (F.col("both") == F.col("a"))).alias("equal"))
 
 
 def u_hashes(spark: SparkSession, d: str) -> DataFrame:
@@ -166,8 +174,7 @@ def u_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 def u_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Python files that are no tests and lie in no skipped directory."""
-    p = table(spark, d, "files").select("path").distinct()
-    return p.filter(F.col("path").endswith(".py") & ~T.is_test_path(F.col("path")) & ~T.in_dirs(F.col("path"), T.SKIP_DIRS))
+    return candidates(table(spark, d, "files"))
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if k[:2] in ("x_", "d_", "i_", "u_")}
@@ -198,8 +205,10 @@ select case when o.key is null then 'added' when n.key is null then 'deleted' wh
 select i.dst_path as path, string_agg(distinct a.language, ',' order by a.language) as others from i join f a on a.path = i.src_path join f b on b.path = i.dst_path where a.language <> b.language group by 1""",
     "d_still_naming": f"""with {_E}, g as (select distinct path, name from entities), t as (select distinct src_path, src_name, ext_name from e where kind in ('calls', 'reads', 'inherits') and ext_name is not null and src_name <> '<module>')
 select path, name, count(distinct (src_path, src_name)) as n from g join t on string_split(t.ext_name, '.')[-1] = string_split(g.name, '.')[-1] group by 1, 2""",
-    "i_refresh": """with f as (select distinct path, hash, size, mtime_ns, recipe_version from files), k as (select path, hash, size, case when len(path) % 3 = 0 then mtime_ns + 1 else mtime_ns end as mtime_ns, recipe_version from f where len(path) % 5 <> 0),
-l as (select path, case when len(path) % 6 = 0 then 'x' else hash end as hash, size, mtime_ns, recipe_version from f where len(path) % 7 <> 0)
+    "i_refresh": """with o as (select *, row_number() over (partition by path order by loaded_at, hash nulls first, size nulls first, mtime_ns nulls first, recipe_version nulls first) as i, count(*) over (partition by path) as c, regexp_replace(path, '^[^/]*/[^/]*/', '') as base from files where path is not null),
+a as (select * from o where i = 1), z as (select * from o where i = c),
+k as (select path, hash, size, mtime_ns, recipe_version from a union all select base, hash, size, mtime_ns, recipe_version from (select *, row_number() over (partition by base order by path) as j from a) where j = 1),
+l as (select path, hash, size, mtime_ns, recipe_version from z union all select base, hash, size, mtime_ns, recipe_version from (select *, row_number() over (partition by base order by path desc) as j, count(*) over (partition by base) as m from z) where j = 1 and m > 1)
 select case when k.size is null and k.hash is null then 'new' when l.size is null and l.hash is null then 'deleted' when l.recipe_version is distinct from k.recipe_version then 'stale' when l.size is not distinct from k.size and l.mtime_ns is not distinct from k.mtime_ns then 'same'
   when l.hash is not distinct from k.hash then 'restamped' else 'changed' end as change, count(*) as n from l full outer join k using (path) group by 1""",
     "i_latest": "select path, max(struct_pack(l := loaded_at, h := hash)).h as hash, max(loaded_at) as loaded_at from files where path is not null group by 1",

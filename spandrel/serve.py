@@ -45,7 +45,7 @@ class Workspace:
 
 
 def _find(w: Workspace, name: str) -> list[tuple[str, str]]:
-    return [(r.path, r.name) for r in G.find(w.nodes, name).orderBy("path", "name").limit(50).collect()]
+    return [(r.path, r.name) for r in G.find(w.nodes, name).orderBy("path", "name").collect()]
 
 
 def _key(w: Workspace, hit: tuple[str, str]) -> DataFrame:

@@ -66,7 +66,14 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 
 def stream_once(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a streaming plan over what is there now and give its result as a table in memory."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+    """Run a streaming plan over what is there now and give its result, written beside the checkpoint.
+
+    In complete mode each batch replaces the one before; else each is a part of its own, replaced if it is run again.
+    """
+    at = f"{checkpoint}/{name}"
+
+    def each(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/part={0 if mode == 'complete' else n}")
+
+    df.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", f"{checkpoint}/log").trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(at).select(*df.columns)

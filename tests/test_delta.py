@@ -88,7 +88,23 @@ def test_overlap_against_brute_force_and_innermost(spark):
 def test_truth_of_a_patch(spark):
     diffs = spark.createDataFrame([("i", diff_of(BASE["gauge.py"], HEAD["gauge.py"], "gauge.py")), ("none", None)], "id string, diff string")
     base = spark.createDataFrame([("i", p, c) for p, c in BASE.items()], "id string, path string, content string")
-    assert {(r.path, r.name) for r in D.truth(diffs, base).collect()} == {("gauge.py", "rainfall"), ("gauge.py", "dewpoint")}
+    assert {(r.path, r.name, r.is_added) for r in D.truth(diffs, base).collect()} == {("gauge.py", "rainfall", False), ("gauge.py", "dewpoint", False), ("gauge.py", "gusts", True)}
+
+
+def test_truth_of_moved_hunks_module_lines_and_new_files(spark):
+    old = BASE["gauge.py"]
+    moved = "# one\n# two\n# three\nUNIT = 1\n\n" + old  # the file has grown since the patch was made
+    cases = {
+        "moved": (moved, diff_of(old, HEAD["gauge.py"], "gauge.py"), {("rainfall", False), ("dewpoint", False), ("gusts", True)}),
+        "module": (moved, diff_of(moved, moved.replace("UNIT = 1", "UNIT = 2"), "gauge.py"), {("<module>", False)}),
+        "misfit": ("x = 1\n", diff_of(old, HEAD["gauge.py"], "gauge.py"), {("<module>", False)}),
+        "fresh": (None, "diff --git a/gauge.py b/gauge.py\n--- /dev/null\n+++ b/gauge.py\n@@ -0,0 +1,2 @@\n+def wet():\n+    return 1\n", {("<module>", True), ("wet", True)}),
+    }
+    diffs = spark.createDataFrame([(k, d) for k, (_, d, _) in cases.items()], "id string, diff string")
+    base = spark.createDataFrame([(k, "gauge.py", c) for k, (c, _, _) in cases.items() if c], "id string, path string, content string")
+    got = D.truth(diffs, base).collect()
+    for k, (_, _, want) in cases.items():
+        assert {(r.name, r.is_added) for r in got if r.id == k} == want, k
 
 
 def test_applying_agrees_with_git(tmp_path):
