@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from spandrel.functions import text as T
 from spandrel.operators import delta as D
 from spandrel.operators import graph as G
-from spandrel.operators.extraction import extract
+from spandrel.operators.extraction import Extracted, extract
 from spandrel.operators.resolve import resolve
 from spandrel.session import shared_dir
 from spandrel.sources.tree import candidates
 from spandrel.streaming import refresh as S
-from spandrel.tables import table
+from spandrel.tables import in_force, table
 
 
 def x_entities(spark: SparkSession, d: str) -> DataFrame:
@@ -35,6 +35,36 @@ def x_edges(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("kind", F.col("dst_path").isNotNull().alias("inside")).agg(F.count("*").alias("n"))
 
 
+def _known(spark: SparkSession, d: str) -> Extracted:
+    """The delivered graph's Python part as extraction would give it: what files import, and names as written."""
+    nodes = G.nodes_of(table(spark, d, "entities")).filter(F.col("path").endswith(".py"))
+    links = in_force(table(spark, d, "edges")).filter(F.col("src_path").endswith(".py")).select("id", "src_path", "src_name", "kind", "target", "dst_path", "dst_name", "line").distinct()
+    paths = nodes.select("path").distinct()
+    files = paths.select("path", F.lit("python").alias("language"), F.lit("7").alias("version"), F.lit("ok").alias("status"), F.lit("").alias("error"), F.lit(".py").alias("suffix"), F.lit("__init__").alias("index"), F.lit("self").alias("own"))
+    whole = F.col("dst_name") == G.MODULE
+    plain = links.filter("kind = 'imports' and dst_name is not null").filter(F.col("dst_path").rlike(r"^[^.]+\.py$"))
+    bindings = plain.select(
+        "src_path", F.when(whole, F.regexp_extract("dst_path", r"([^/]+)\.py$", 1)).otherwise(T.tail(F.col("dst_name"))).alias("local"), F.replace(F.regexp_replace("dst_path", r"\.py$", ""), F.lit("/"), F.lit(".")).alias("module"),
+        F.when(~whole, F.col("dst_name")).alias("member"), F.lit("module").alias("style"), F.lit(False).alias("star"), F.col("id").alias("ord"), "line", F.coalesce("target", F.lit("")).alias("target"),
+    )
+    only = F.when(F.col("kind").isin("types", "inherits"), F.array(F.lit("class"))).otherwise(F.array().cast("array<string>"))
+    references = links.filter(F.col("kind").isin(*G.IMPACT) & F.col("target").isNotNull()).select("src_path", "src_name", "kind", "target", "line", F.lit("lexical").alias("resolve"), only.alias("only"), F.when(F.col("kind") == "calls", "external").otherwise("drop").alias("unresolved"))
+    none = links.filter("false").select("src_path", "src_name", "dst_path", "dst_name")
+    return Extracted(files, nodes.select("path", "name", "kind"), bindings, references, none, paths)
+
+
+def x_resolved(spark: SparkSession, d: str) -> DataFrame:
+    """src_path, src_name, kind, target, dst_path, dst_name, external, n: names as written in Python files, resolved anew by
+    what their files import and define, through modules that pass names on."""
+    e = resolve(_known(spark, d)).filter("kind <> 'imports'").drop("line")
+    return e.groupBy(*e.columns).agg(F.count("*").alias("n"))
+
+
+def x_imports(spark: SparkSession, d: str) -> DataFrame:
+    """src_path, dst_path, dst_name, external: what Python files import, at its definition."""
+    return resolve(_known(spark, d)).filter("kind = 'imports'").select("src_path", "dst_path", "dst_name", F.col("dst_path").isNull().alias("external")).distinct()
+
+
 def x_html_references(spark: SparkSession, d: str) -> DataFrame:
     """src_path, target: what HTML pages refer to, as written."""
     r = extract(table(spark, d, "files").filter(F.col("path").endswith(".html"))).references
@@ -101,10 +131,44 @@ def d_cross_language(spark: SparkSession, d: str) -> DataFrame:
     return D.cross_language(links, f, f.select("path")).select("path", F.array_join("others", ",").alias("others"))
 
 
+def _changes(spark: SparkSession, d: str) -> DataFrame:
+    """path, name, kind, change: addresses that are gone, that came back, and that were first seen in the last quarter."""
+    e = table(spark, d, "entities").filter("path is not null and name is not null").filter(~F.col("name").isin(*G.SCOPES))
+    per = e.groupBy("path", "name").agg(F.min("kind").alias("kind"), F.count_if(F.col("removed_at").isNull()).alias("living"), F.count_if(F.col("removed_at").isNotNull()).alias("gone"), F.min("seen_at").alias("first"))
+    change = F.when(F.col("living") == 0, "deleted").when(F.col("gone") > 0, "modified").when(F.month("first") >= 10, "added")
+    return per.withColumn("change", change).filter("change is not null").select("path", "name", "kind", "change")
+
+
+def d_delta(spark: SparkSession, d: str) -> DataFrame:
+    """path, name, kind, change, radius, dependents, load_bearing of what has changed."""
+    return D.delta(_changes(spark, d), G.links_of(table(spark, d, "edges")))[0]
+
+
+def d_at_risk(spark: SparkSession, d: str) -> DataFrame:
+    """path, name, hops: what the changes put at risk, with the fewest hops."""
+    return D.delta(_changes(spark, d), G.links_of(table(spark, d, "edges")))[1]
+
+
+def d_truth(spark: SparkSession, d: str) -> DataFrame:
+    """id, path, name, is_added: what the instances' patches change, where their files are at hand (added ones always)."""
+    i = table(spark, d, "instances").select(F.col("instance_id").alias("id"), F.col("patch").alias("diff"))
+    f = table(spark, d, "files").filter("content is not null").groupBy("path", "repo").agg(F.min("hash").alias("hash"))
+    known = table(spark, d, "files").select("path", "hash", "content").distinct().join(f, ["path", "hash"])
+    own = D.changed_lines(i).select("id", "path").distinct().join(table(spark, d, "instances").select(F.col("instance_id").alias("id"), "repo").distinct(), "id")
+    base = own.join(known.select(F.expr("substring(path, length(repo) + 2)").alias("path"), "repo", "content"), ["repo", "path"]).select("id", "path", "content")
+    return D.truth(i, base)
+
+
 def d_still_naming(spark: SparkSession, d: str) -> DataFrame:
-    """path, name, n: entities that external targets name by their last part."""
-    gone = table(spark, d, "entities").select("path", "name").distinct()
-    return D.still_naming(G.links_of(table(spark, d, "edges")), gone).groupBy("path", "name").agg(F.count("*").alias("n"))
+    """path, name, n: who names, by the text of external targets, what once was an external target's own address.
+
+    What edges name outside of the workspace stands for entities of a package that is gone (its parts before the last
+    dot are the path).
+    """
+    links = G.links_of(table(spark, d, "edges"))
+    cut = F.regexp_replace("ext_name", "[.]?[^.]*$", "")
+    gone = links.filter("ext_name is not null").select(F.when(cut != "", cut).otherwise("builtins").alias("path"), T.tail(F.col("ext_name")).alias("name")).distinct()
+    return D.still_naming(links, gone).groupBy("path", "name").agg(F.count("*").alias("n"))
 
 
 def i_refresh(spark: SparkSession, d: str) -> DataFrame:
@@ -181,7 +245,37 @@ QUERIES = {k: v for k, v in list(globals().items()) if k[:2] in ("x_", "d_", "i_
 
 _E = "e as (select distinct id, src_path, src_name, kind, dst_path, dst_name, ext_name, line from edges where coalesce(status, '') <> 'dropped')"
 _SKIP = ", ".join(f"'{x}'" for x in T.SKIP_DIRS)
+_KNOWN = """n as (select path, name, min(kind) as kind from entities where removed_at is null and path like '%.py' and name is not null group by 1, 2),
+l as (select distinct id, src_path, src_name, kind, target, dst_path, dst_name, line from edges where coalesce(status, '') <> 'dropped' and src_path like '%.py' and src_path in (select path from n)),
+b as (select src_path, case when dst_name = '<module>' then regexp_extract(dst_path, '([^/]+)[.]py$', 1) else string_split(dst_name, '.')[-1] end as local, dst_path as to_path, dst_name as to_name, id, coalesce(target, '') as target from l where kind = 'imports' and dst_name is not null and regexp_matches(dst_path, '^[^.]+[.]py$')),
+bound as (select src_path, local, max_by(to_path, id) as to_path, max_by(to_name, id) as to_name from b group by 1, 2),
+r as (select row_number() over () as row, src_path, src_name, kind, target, line from l where kind in ('calls', 'reads', 'writes', 'inherits', 'implements', 'types') and target is not null),
+own as (select r.row, src_path as path, regexp_replace(src_name, '[.][^.]*$', '') || substr(target, 5) as name from r where starts_with(target, 'self.') and contains(src_name, '.')),
+hit as (select r.row, bound.to_path, case when to_name = '<module>' then case when contains(target, '.') then substr(target, instr(target, '.') + 1) else '<module>' end else to_name || case when contains(target, '.') then substr(target, instr(target, '.')) else '' end end as name
+  from r join bound on bound.src_path = r.src_path and bound.local = string_split(target, '.')[1] where not (starts_with(target, 'self.') and contains(src_name, '.'))),
+bare as (select r.row, src_path as to_path, target as name from r where not (starts_with(target, 'self.') and contains(src_name, '.')) and row not in (select row from hit)),
+req as (select to_path, name from hit union select to_path, name from bare union select to_path, to_name from b),
+m as (select to_path, name, to_path as p, name as x from req union select m.to_path, m.name, bound.to_path, bound.to_name from m join bound on bound.src_path = m.p and bound.local = m.x where not exists (select 1 from n where n.path = m.p and n.name = m.x) and m.p in (select path from n)),
+means as (select m.to_path, m.name, n.path as dst_path, n.name as dst_name, n.kind as dst_kind from m join n on n.path = m.p and n.name = m.x)"""
+_CHANGES = """c as (select path, name, kind, change from (select path, name, min(kind) as kind, case when count(*) filter (removed_at is null) = 0 then 'deleted' when count(*) filter (removed_at is not null) > 0 then 'modified' when month(min(seen_at)) >= 10 then 'added' end as change
+  from entities where path is not null and name is not null and name not in ('<module>', '<package>') group by 1, 2) where change is not null)"""
+_DELTA = f"""with recursive {_E}, {_CHANGES}, p as (select distinct kind, src_path || '::' || src_name as src, dst_path || '::' || dst_name as dst, src_name from e where dst_path is not null and dst_name is not null),
+i as (select distinct src, dst from p where kind in ('calls', 'reads', 'writes', 'inherits', 'implements', 'types') and src_name <> '<module>'),
+w as (select path || '::' || name as target, path || '::' || name as node, 0 as hops from c where change = 'modified' union select w.target, i.src, w.hops + 1 from w join i on i.dst = w.node where w.hops < 40),
+t as (select distinct src_path, src_name, ext_name from e where kind in ('calls', 'reads', 'inherits') and ext_name is not null and src_name <> '<module>'),
+named as (select distinct c.path || '::' || c.name as target, t.src_path || '::' || t.src_name as node, 1 as hops from c join t on string_split(t.ext_name, '.')[-1] = string_split(c.name, '.')[-1] where change = 'deleted'),
+r as (select target, node, min(hops) as hops from w where node <> target group by 1, 2 union all select * from named),
+near as (select dst as target, src as node from p where kind in ('calls', 'reads', 'inherits') and src_name not in ('<module>', '<package>') and src <> dst union select target, node from named)"""
 ORACLE = {
+    "x_resolved": f"""with recursive {_KNOWN}, a as (select own.row, n.path as dst_path, n.name as dst_name, n.kind as dst_kind from own join n using (path, name)
+  union all select h.row, dst_path, dst_name, dst_kind from (select * from hit union all select * from bare) h join means on means.to_path = h.to_path and means.name = h.name),
+o as (select r.*, case when a.row is not null and (kind not in ('types', 'inherits') or dst_kind = 'class') then dst_path end as dst_path, case when a.row is not null and (kind not in ('types', 'inherits') or dst_kind = 'class') then dst_name end as dst_name from r left join a on a.row = r.row)
+select src_path, src_name, kind, target, dst_path, dst_name, case when dst_path is null then target end as external, count(*) as n from o where dst_path is not null or kind = 'calls' group by all""",
+    "x_imports": f"with recursive {_KNOWN} select distinct b.src_path, dst_path, dst_name, dst_path is null as external from b left join means on means.to_path = b.to_path and means.name = b.to_name",
+    "d_delta": f"""{_DELTA}, s as (select target, count(*) as radius from r group by 1), k as (select target, count(distinct node) as dependents from near group by 1)
+select path, name, kind, change, coalesce(radius, 0) as radius, case when change = 'added' then 0 else coalesce(dependents, 0) end as dependents, case when change = 'added' then false else coalesce(dependents, 0) >= 3 end as load_bearing
+from c left join s on s.target = path || '::' || name left join k on k.target = path || '::' || name""",
+    "d_at_risk": f"""{_DELTA} select split_part(node, '::', 1) as path, substr(node, instr(node, '::') + 2) as name, min(hops) as hops from r where node not in (select path || '::' || name from c) group by 1, 2""",
     "x_terraform": r"""with t as (select path, min(content) as content from files where path like '%.tf' and content is not null group by 1),
 m as (select path, unnest(regexp_extract_all(content, '(?m)^[ \t]*(?:variable|output)\s+"[^"]+"|^[ \t]*resource\s+"[^"]+"\s+"[^"]+"')) as m from t)
 select distinct path, case when m like '%resource%' and regexp_matches(m, '^\s*resource') then regexp_extract(m, 'resource\s+"([^"]+)"', 1) || '.' || regexp_extract(m, '"([^"]+)"\s*$', 1) else regexp_extract(m, '"([^"]+)"', 1) end as name, regexp_extract(m, '(variable|output|resource)', 1) as kind from m""",
@@ -203,8 +297,9 @@ select p.path, p.line, (select min(struct_pack(size := len(n.name), name := n.na
 select case when o.key is null then 'added' when n.key is null then 'deleted' when o.v <> n.v then 'modified' else 'same' end as change, count(*) as n from o full outer join n using (key) group by 1""",
     "d_cross_language": f"""with {_E}, f as (select distinct path, recipe as language from files where recipe is not null), i as (select distinct src_path, dst_path from e where kind <> 'contains' and dst_path is not null)
 select i.dst_path as path, string_agg(distinct a.language, ',' order by a.language) as others from i join f a on a.path = i.src_path join f b on b.path = i.dst_path where a.language <> b.language group by 1""",
-    "d_still_naming": f"""with {_E}, g as (select distinct path, name from entities), t as (select distinct src_path, src_name, ext_name from e where kind in ('calls', 'reads', 'inherits') and ext_name is not null and src_name <> '<module>')
-select path, name, count(distinct (src_path, src_name)) as n from g join t on string_split(t.ext_name, '.')[-1] = string_split(g.name, '.')[-1] group by 1, 2""",
+    "d_still_naming": f"""with {_E}, x as (select src_path, src_name, kind, ext_name, string_split(ext_name, '.')[-1] as tail from e where ext_name is not null),
+g as (select distinct coalesce(nullif(regexp_replace(ext_name, '[.]?[^.]*$', ''), ''), 'builtins') as path, tail as name from x), t as (select distinct src_path, src_name, tail from x where kind in ('calls', 'reads', 'inherits') and src_name <> '<module>')
+select path, name, count(distinct (src_path, src_name)) as n from g join t on t.tail = g.name group by 1, 2""",
     "i_refresh": """with o as (select *, row_number() over (partition by path order by loaded_at, hash nulls first, size nulls first, mtime_ns nulls first, recipe_version nulls first) as i, count(*) over (partition by path) as c, regexp_replace(path, '^[^/]*/[^/]*/', '') as base from files where path is not null),
 a as (select * from o where i = 1), z as (select * from o where i = c),
 k as (select path, hash, size, mtime_ns, recipe_version from a union all select base, hash, size, mtime_ns, recipe_version from (select *, row_number() over (partition by base order by path) as j from a) where j = 1),

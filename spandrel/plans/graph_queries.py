@@ -30,15 +30,15 @@ def g_radius(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g_radius_all_shared(spark: SparkSession, d: str) -> DataFrame:
-    """Dependents up to three hops off each shared entity, counted by hop."""
+    """Dependents of each shared entity, counted by hop."""
     targets = table(spark, d, "shared_entities").select(node_key(F.col("path"), F.col("name")).alias("key")).distinct()
-    return G.radius(_links(spark, d), targets, 3).groupBy("target", "hops").agg(F.count("*").alias("n"))
+    return G.radius(_links(spark, d), targets).groupBy("target", "hops").agg(F.count("*").alias("n"))
 
 
 def g_reach(spark: SparkSession, d: str) -> DataFrame:
-    """What each function and method calls, up to four calls away."""
+    """How much each function and method calls, through any number of calls."""
     sources = _nodes(spark, d).filter("kind in ('function', 'method')").select(node_key(F.col("path"), F.col("name")).alias("key"))
-    return G.reach(_links(spark, d), sources, 4).groupBy("source").agg(F.count("*").alias("n"), F.max("hops").alias("far"))
+    return G.reach(_links(spark, d), sources).groupBy("source").agg(F.count("*").alias("n"), F.max("hops").alias("far"))
 
 
 def g_ancestry(spark: SparkSession, d: str) -> DataFrame:
@@ -161,10 +161,10 @@ _DIR = "case when contains({0}, '/') then split_part({0}, '/', 1) else '.' end"
 ORACLE = {
     "g_radius": f"{_RADIUS} select split_part(node, '::', 1) as path, substr(node, instr(node, '::') + 2) as name, hops from r",
     "g_radius_all_shared": f"""with recursive {_E}, {_P}, i as (select distinct src, dst from p where kind in {_IN} and src_name <> '<module>'),
-w as (select distinct path || '::' || name as target, path || '::' || name as node, 0 as hops from shared_entities union select w.target, i.src, w.hops + 1 from w join i on i.dst = w.node where w.hops < 3),
+w as (select distinct path || '::' || name as target, path || '::' || name as node, 0 as hops from shared_entities union select w.target, i.src, w.hops + 1 from w join i on i.dst = w.node where w.hops < 24),
 r as (select target, node, min(hops) as hops from w where node <> target group by 1, 2) select target, hops, count(*) as n from r group by 1, 2""",
     "g_reach": f"""with recursive {_E}, {_P}, {_N}, c as (select path || '::' || name as key from n where kind in ('function', 'method')), i as (select distinct src, dst from p where kind = 'calls'),
-w as (select key as source, key as node, 0 as hops from c union select w.source, i.dst, w.hops + 1 from w join i on i.src = w.node where w.hops < 4),
+w as (select key as source, key as node, 0 as hops from c union select w.source, i.dst, w.hops + 1 from w join i on i.src = w.node where w.hops < 24),
 r as (select source, node, min(hops) as hops from w where node <> source group by 1, 2) select source, count(*) as n, max(hops) as far from r group by 1""",
     "g_ancestry": f"""with recursive {_E}, {_P}, {_N}, up as (select dst, min(src) as src from p where kind = 'contains' group by 1),
 w as (select path || '::' || name as target, path || '::' || name as node, 0 as depth from n where kind = 'method' union select w.target, up.src, w.depth + 1 from w join up on up.dst = w.node where w.depth < 32),

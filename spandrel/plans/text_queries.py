@@ -10,6 +10,7 @@ from spandrel.operators import arms as A
 from spandrel.operators import evaluate as E
 from spandrel.operators import graph as G
 from spandrel.operators import retrieval as R
+from spandrel.session import Scratch
 from spandrel.tables import table
 
 
@@ -72,24 +73,23 @@ def t_rare_coactivation(spark: SparkSession, d: str) -> DataFrame:
 
 def t_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Reciprocal rank fusion of BM25 and the boosted ranking."""
-    parts = R.bm25_terms(_queries(spark, d), _posts(spark, d))
+    parts = Scratch(spark).keep(R.bm25_terms(_queries(spark, d), _posts(spark, d)))
     plain = G.ranked(parts.groupBy("space", "query", "doc").agg(F.round(F.sum("part"), 6).alias("score")), "score", "doc", by=("space", "query"))
     boosted = G.ranked(R.rare_boost(parts).withColumn("score", F.round("score", 6)), "score", "doc", by=("space", "query"))
     return R.fuse(plain, boosted).select("query", "doc", F.round("score", 9).alias("score"))
 
 
 def t_seeds(spark: SparkSession, d: str) -> DataFrame:
-    """The symbols that each document names (all texts but source files)."""
-    docs = table(spark, d, "documents").filter("source <> 'source_file' and text is not null").select(F.col("doc_id").alias("query"), "text")
+    """The symbols that each document names."""
+    docs = table(spark, d, "documents").filter("text is not null").select(F.col("doc_id").alias("query"), "text")
     return R.seeds(docs).select(F.col("query").alias("doc_id"), "symbol", "weight", "rank")
 
 
 def t_seed_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Instances' symbols by camel case and underscores alone."""
     q = _queries(spark, d)
-    camel = q.select("query", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\b"), F.lit(1)))).alias("symbol"), F.lit("camel").alias("how"))
-    snake = q.select("query", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([a-z][a-z0-9]*(?:_[a-z0-9]+)+)\b"), F.lit(1)))).alias("symbol"), F.lit("snake").alias("how"))
-    return camel.unionByName(snake)
+    every = q.select("query", F.explode(F.array(*(F.struct(F.lit(k).alias("how"), R.all_of(F.col("text"), rx).alias("s")) for k, rx in (("camel", R.CAMEL), ("snake", R.SNAKE))))).alias("o"))
+    return every.select("query", F.explode(F.array_distinct("o.s")).alias("symbol"), "o.how")
 
 
 def t_name_scores(spark: SparkSession, d: str) -> DataFrame:
