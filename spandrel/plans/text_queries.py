@@ -146,6 +146,11 @@ def t_interval(spark: SparkSession, d: str) -> DataFrame:
     return E.paired_interval(a.unionByName(b), "bm25", "control", "mrr")
 
 
+def t_lead(spark: SparkSession, d: str) -> DataFrame:
+    """metric, n, difference: by how much BM25 leads the control, over how many instances."""
+    return t_interval(spark, d).select("metric", "n", "difference")
+
+
 def t_arms(spark: SparkSession, d: str) -> DataFrame:
     """Averages of all six arms over the instances."""
     c = A.Corpus(table(spark, d, "files"), table(spark, d, "entities"), table(spark, d, "edges"), _queries(spark, d))
@@ -180,6 +185,29 @@ def t_module_paths(spark: SparkSession, d: str) -> DataFrame:
     return got.select("path", "module", T.module_path(F.col("module"), F.col("path"), F.lit(".py")).alias("file"))
 
 
+def _all(text: str, pattern: str) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"regexp_extract_all({text}, '{quoted}', 1)"
+
+
+def _seeds_sql() -> str:
+    """Offers of every way of naming, in the order of ``R.WEIGHTS``."""
+    inside = lambda rx: f"flatten(list_transform(blocks, lambda b: {_all('b', rx)}))"
+    last = lambda a: f"list_transform({a}, lambda s: string_split(s, '.')[-1])"
+    named = f"flatten(list_transform({_all('text', R.BACKTICKS)}, lambda b: case when len({_all('b', R.DOTTED)}) > 0 then {_all('b', R.DOTTED)} else {_all('b', R.NAME)} end))"
+    ways = {
+        "traceback": _all("text", R.TRACEBACK), "backticks": named, "defined": _all("text", R.DEFINED), "called in code": inside(R.CALLED), "dotted in code": inside(R.DOTTED), "end of dotted in code": last(inside(R.DOTTED)),
+        "called": _all("text", R.CALLED), "dotted": _all("text", R.DOTTED), "end of dotted": last(_all("text", R.DOTTED)), "camel": _all("text", R.CAMEL), "snake": _all("text", R.SNAKE),
+    }
+    offers = ", ".join(f"list_transform({a}, lambda s: struct_pack(s := s, w := {R.WEIGHTS[k]}::double))" for k, a in ways.items())
+    stop = ", ".join(f"'{x}'" for x in R.STOP_SYMBOLS)
+    lines = "regexp_replace(text, '\\r\\n?', chr(10), 'g')"
+    return f"""with t as (select doc_id, text, list_concat({_all('text', R.FENCED)}, {_all(lines, R.INDENTED)}) as blocks from documents where text is not null),
+o as (select doc_id, unnest(flatten([{offers}])) as o from t), b as (select doc_id, regexp_replace(trim(o.s), '^[().,:''"]+|[().,:''"]+$', '', 'g') as symbol, o.w as w from o),
+g as (select doc_id, symbol, max(w) as weight from b where len(symbol) >= 3 and lower(symbol) not in ({stop}) group by 1, 2)
+select * from (select doc_id, symbol, weight, row_number() over (partition by doc_id order by weight desc, symbol)::int as rank from g) where rank <= {R.SEEDS}"""
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("t_")}
 
 _TOK = """flatten(list_transform(regexp_extract_all({0}, '[A-Za-z_][A-Za-z0-9_]*'), lambda w: list_concat([lower(w)],
@@ -211,6 +239,12 @@ ORACLE = {
     "t_fusion": f"""with {_PARTS}, {_BOOST}, r as (select space, query, doc, row_number() over (partition by space, query order by score desc, doc) as rank from (select space, query, doc, round(sum(part), 6) as score from parts group by 1, 2, 3)
 union all select space, query, doc, row_number() over (partition by space, query order by score desc, doc) from (select space, query, doc, round(score, 6) as score from boost))
 select query, doc, round(sum(1.0::double / (60 + rank)), 9) as score from r group by 1, 2""",
+    "t_seeds": _seeds_sql(),
+    "t_lead": f"""with {_BM25}, {_TRUTH}, g as (select distinct query from truth), f2 as (select distinct repo as space, path as doc from files),
+c as (select query, doc, row_number() over (partition by f2.space, query order by sha256(query || chr(1) || doc) desc, doc) as rank from q join f2 on f2.space = q.space),
+x as (select g.query, coalesce(1.0 / min(b.rank), 0) as v from g left join truth t on t.query = g.query left join b on b.query = t.query and b.doc = t.doc group by 1),
+y as (select g.query, coalesce(1.0 / min(c.rank), 0) as v from g left join truth t on t.query = g.query left join c on c.query = t.query and c.doc = t.doc group by 1)
+select 'mrr' as metric, count(*) as n, round(avg(x.v - y.v), 4) as difference from x join y on y.query = x.query""",
     "t_seed_kinds": f"""with {_Q} select distinct query, unnest(regexp_extract_all(text, '\\b([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\\b', 1)) as symbol, 'camel' as how from q
 union all select distinct query, unnest(regexp_extract_all(text, '\\b([a-z][a-z0-9]*(?:_[a-z0-9]+)+)\\b', 1)), 'snake' from q""",
     "t_name_scores": f"""with {_OWN}, a as (select distinct package_name as query, lower(regexp_replace(path, '^.*/|\\.[A-Za-z0-9_]+$', '', 'g')) as asked from upstream_files), t as (select *, list_filter(string_split(replace(asked, '_', ' '), ' '), lambda x: len(x) > 1) as terms from a),
