@@ -50,6 +50,7 @@ class Source(NamedTuple):
     bindings: list[Binding]
     references: list[Reference]
     module_doc: tuple[str, str]  # text, kind
+    error: str = ""  # of a file that was read in part
 
 
 # What is no part of a comment's words: its marks at either end of a line; and whole lines: shebangs, rules between
@@ -273,16 +274,53 @@ def _may_resolve(refs: list[Reference], entities: dict[str, Entity], bindings: l
     return [r for r in refs if r.unresolved != "drop" or r.resolve != "lexical" or r.target in entities or r.target.split(".")[0] in bound or (own and r.target.startswith(own + "."))]
 
 
+MENDED = 200  # places of one file that are left out before it counts as unreadable
+
+
+def _parsed(text: str) -> tuple[ast.Module, str]:
+    """The tree of a text, and the first error if it has any: then statements around errors are left out."""
+    lines, said = BREAK.split(text), ""
+    for _ in range(MENDED):
+        try:
+            return ast.parse("\n".join(lines)), said
+        except SyntaxError as e:
+            said = said or f"{type(e).__name__}: line {e.lineno}: {e.msg}"
+            at = min(max(0, (e.lineno or 1) - 1), len(lines) - 1)
+            margin = len(lines[at]) - len(lines[at].lstrip())
+            if "expected an indented block" in e.msg:  # the header before it gets an empty body
+                k = at - (at > 0)
+                while k > 0 and not lines[k].rstrip().endswith(":"):
+                    k -= 1
+                if not lines[k].rstrip().endswith(":"):
+                    raise
+                lines[k] += " pass"
+                continue
+            while at > 0 and not lines[at].strip():
+                at -= 1
+            if not lines[at].strip():
+                raise
+            header = re.match(r"\s*(?:async\s+)?(?:def|class|if|elif|for|while|with|try|except|else|finally)\b", lines[at])
+            lines[at] = ""
+            # what stands deeper belonged to it
+            for k in range(at + 1, len(lines)) if header or "unexpected indent" in e.msg else ():
+                own = len(lines[k]) - len(lines[k].lstrip())
+                if lines[k].strip() and (own < margin if "unexpected indent" in e.msg else own <= margin):
+                    break
+                lines[k] = ""
+    raise SyntaxError(said)
+
+
 def read_python(text: str, lang: Language) -> Source:
+    """A file with errors gives what stands outside of the statements around them."""
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        tree = ast.parse(text)
+        tree, said = _parsed(text)
     v = _Python(text)
     v.visit(tree)
     doc = ast.get_docstring(tree, clean=False)
     module = (doc.strip()[:LONGEST], "docstring") if doc and doc.strip() else _first_comment(v.lines, "#")
     refs = _may_resolve(list(v.found.values()), v.entities, v.bindings, lang.own)
-    return Source(list(v.entities.values()), v.bindings, refs, module)
+    return Source(list(v.entities.values()), v.bindings, refs, module, said)
 
 
 _BLANK = re.compile(r"//[^\n\r]*|/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`", re.S)
@@ -319,8 +357,10 @@ def read_script(text: str, lang: Language) -> Source:
         ends[i] = len(text)
     opens = sorted(ends)
 
+    closes = sorted(ends.values())
+
     def depth(at: int) -> int:
-        return sum(1 for o in opens[: bisect.bisect_left(opens, at)] if ends[o] >= at)
+        return bisect.bisect_left(opens, at) - bisect.bisect_left(closes, at)
 
     spans: list[tuple[int, int, str, str]] = []  # start, end, name, kind
     claimed: set[int] = set()
@@ -413,12 +453,21 @@ def read_script(text: str, lang: Language) -> Source:
 
     found: dict[tuple, Reference] = {}
 
+    # spans nest: the innermost one around a place is the last that begins before it, or one that holds that one
+    begins = [s for s, _, _ in placed]
+    holder: list[int] = []
+    inside: list[int] = []
+    for k, (s, _, _) in enumerate(placed):
+        while inside and placed[inside[-1]][1] <= s:
+            inside.pop()
+        holder.append(inside[-1] if inside else -1)
+        inside.append(k)
+
     def within(at: int) -> str:
-        best, size = MODULE, 1 << 60
-        for s, e, full in placed:
-            if s <= at < e and e - s < size:
-                best, size = full, e - s
-        return best
+        k = bisect.bisect_right(begins, at) - 1
+        while k >= 0 and placed[k][1] <= at:
+            k = holder[k]
+        return placed[k][2] if k >= 0 else MODULE
 
     def refer(rule: str, kind: str, target: str, at: int, only: tuple[str, ...] = (), unresolved: str = "external") -> None:
         if any(a <= at < b for a, b in covered):

@@ -25,7 +25,7 @@ _NAMES = [x.split()[0] for x in _ROW.split(", ")]
 
 @dataclass
 class Extracted:
-    """files: path, language, version, suffix, index, own, status (ok or failed), error. entities, bindings,
+    """files: path, language, version, suffix, index, own, status (ok, partial or failed), error. entities, bindings,
     references: one row a finding. contains: containment edges. paths: every file path, claimed or not."""
 
     files: DataFrame
@@ -47,7 +47,7 @@ def _rows(path: str, text: str, languages: tuple[Language, ...]) -> Iterator[dic
         yield {**base, "part": "file", "kind": "failed", "meta": f"{type(e).__name__}: {e}"[:200]}
         yield {**base, "part": "entity", "name": MODULE, "kind": "module", "line": 1, "meta": "", "doc_kind": "none"}
         return
-    yield {**base, "part": "file", "kind": "ok"}
+    yield {**base, "part": "file", "kind": "partial" if source.error else "ok", "meta": source.error or None}
     yield {**base, "part": "entity", "name": MODULE, "kind": "module", "line": 1, "last": text.count("\n") + 1, "meta": source.module_doc[0], "doc_kind": source.module_doc[1]}
     for e in source.entities:
         yield {**base, "part": "entity", **e._asdict()}
