@@ -274,7 +274,7 @@ def _may_resolve(refs: list[Reference], entities: dict[str, Entity], bindings: l
     return [r for r in refs if r.unresolved != "drop" or r.resolve != "lexical" or r.target in entities or r.target.split(".")[0] in bound or (own and r.target.startswith(own + "."))]
 
 
-MENDED = 200  # places of one file that are left out before it counts as unreadable
+MENDED = 20  # places of one file that are left out before it counts as unreadable
 
 
 def _parsed(text: str) -> tuple[ast.Module, str]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spandrel.extract.languages import BUILT_IN, Language, language_of
 from spandrel.extract.readers import MODULE, read
 from spandrel.operators.graph import packages
-from spandrel.session import Scratch
+from spandrel.session import Scratch, spread
 
 _ROW = (
     "path string, part string, language string, version string, name string, kind string, line int, last int, meta string, doc_kind string, parent string, "
@@ -73,7 +73,7 @@ def extract(files: DataFrame, languages: tuple[Language, ...] = BUILT_IN) -> Ext
             rows = [{**r, "delivery": d} for p, t, d in zip(*(c.to_pylist() for c in b.columns)) for r in _rows(p, t, languages)]
             yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in zip(_NAMES, _TYPES)], _NAMES)
 
-    all_ = scratch.keep(one.mapInArrow(run, _ROW), "part")
+    all_ = scratch.keep(spread(one).mapInArrow(run, _ROW), "part")
     heard = all_.filter("part = 'file'").groupBy("path").agg(F.min("delivery").alias("delivery"), F.count("*").alias("times"))
     again = scratch.keep(heard.filter("times > 1").select("path", F.col("delivery").alias("first")))  # paths that were delivered more than once
     kept = all_.join(again, "path", "left").filter("first is null or first = delivery").drop("first", "delivery")

@@ -81,5 +81,15 @@ class Scratch:
             at.getFileSystem(hadoop).delete(at, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, whose rows take workers long, over all cores: a scan of fewer splits than cores is spread out.
+
+    Only small inputs have so few splits, so what is shuffled stays below one split a core; larger ones are read as
+    they lie.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
