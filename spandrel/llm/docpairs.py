@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spandrel.extract.functions import BREAK, functions
-from spandrel.session import Scratch
+from spandrel.session import Scratch, spread
 
 #: Words that say nothing about a particular function.
 _EMPTY = frozenset(
@@ -119,7 +119,7 @@ def symbols(files: DataFrame) -> DataFrame:
             types = [pa.string()] * 3 + [pa.int32(), pa.list_(pa.string()), pa.string(), pa.string(), pa.bool_(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["path", "module", "name", "line", "params", "kind", "doc", "says", "body"])
 
-    return files.filter("path is not null and content is not null").select("path", "content").mapInArrow(run, _SYMBOL)
+    return spread(files.filter("path is not null and content is not null").select("path", "content")).mapInArrow(run, _SYMBOL)
 
 
 def _signature(params):

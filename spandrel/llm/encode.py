@@ -13,6 +13,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spandrel.session import spread
+
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pre-split pattern that belongs to the byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -114,4 +116,4 @@ def encode_corpus(documents: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bp
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["doc_id", "ids"])
 
-    return documents.select(F.col("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return spread(documents.select(F.col("doc_id"), F.col("text"))).mapInArrow(run, "doc_id long, ids array<int>")

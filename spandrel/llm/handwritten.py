@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spandrel.session import spread
+
 LINE_KEYS = 2_000_000  # most upstream lines that are broadcast; beyond that the join is shuffled
 
 
@@ -140,7 +142,7 @@ def _by_text(files: DataFrame) -> DataFrame:
             found = [(p, v) for p, t in zip(paths, texts) if (v := verdict(p, t))]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([v for _, v in found], pa.string())], ["path", "why"])
 
-    return files.mapInArrow(run, "path string, why string")
+    return spread(files).mapInArrow(run, "path string, why string")
 
 
 def _lines(text):

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spandrel.session import spread
+
 LEAST_WORDS = 25  # words in a row that make a leak
 EDITS = 4  # word edits allowed among as many words
 PHRASE = 3  # words of a run that makes common phrasing when SHARED_BY items hold it; all other words are an item's own, in which near misses differ
@@ -492,7 +494,7 @@ def leaked(documents: DataFrame, instances: DataFrame, index_bytes: int = INDEX_
     parts = max(1, -(-size // index_bytes))
     rows = _parted(instances, parts)
     common = _common_everywhere(instances, parts).persist() if parts > 1 else None
-    docs = documents.filter("doc_id is not null and text is not null").select("doc_id", "text")
+    docs = spread(documents.filter("doc_id is not null and text is not null").select("doc_id", "text"))
     found = None
     for part in range(parts):
         held = rows.filter(F.col("part") == part).collect()  # bounded by index_bytes, or one item

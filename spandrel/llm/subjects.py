@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spandrel.session import Scratch
+from spandrel.session import Scratch, spread as spread_rows
 
 SPACE = 1 << 18  # hashed terms
 DIMS = 256  # of a document vector
@@ -90,7 +90,7 @@ def _read(documents: DataFrame) -> DataFrame:
             rows = [reader.read(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i].tobytes() for r in rows], pa.binary()) for i in range(3))], ["doc_id", "terms", "segments", "bag"])
 
-    return documents.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _READ)
+    return spread_rows(documents.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, _READ)
 
 
 @dataclass
