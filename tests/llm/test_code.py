@@ -90,6 +90,34 @@ def test_chart_finds_the_least_repair():
     assert g.repair("(a", 3)[0] == 1 and g.repair("(a)", 3) == (0, ())
 
 
+def test_chart_finds_the_least_repair_with_errors_at_both_ends():
+    g = S._GRAMMARS["hcl", "P"]
+    assert g.repair(",diuc", 6)[0] == 2  # udiu
+    assert S._GRAMMARS["docker", "line"].repair("wojg", 6)[0] == 2
+    assert g.repair("i" * 40, 2)[0] == 3 and g.repair("i" * 9)[0] == 4
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 11, 12, 13, 30, 60, 200, 500])
+def test_costs_do_not_depend_on_length(n):
+    cost = lambda text, path="a.ts": S.check(path, text).cost
+    more, items = " + a" * n, ", a" * n
+    assert [cost(f"x = = 1{more}\n"), cost(f"x = = 1{more} + = b\n"), cost(f"x = = 1 + = b + = c{more}\n")] == [1, 2, 3]
+    assert cost(f"f(a,, b{items});\n") == 1 and cost(f"f(a b{items}, c d);\n") == 2 and cost(f"f(a{items}, b, c);\n") == 0
+    assert cost(f"[a b, c d, e f{items}];\n") == 3 and cost(f"[a,, b{items}];\n") == 0
+    assert cost("f();\n" * n + "a = ;\n" + "f();\n" * n) == 1
+    assert cost(f"f(a b{items})\n", "a.py") == 1
+    assert cost("x = {\n  k = 1\n" + "  a = 2\n" * n + "  b = = 3\n}\n", "a.tf") == cost("x = {\n  k = 1\n  b = = 3\n}\n", "a.tf")
+
+
+def test_shortened_lists_cost_what_whole_ones_do():
+    for kind, wrong in itertools.product(("", "C", "P", "B"), ("", "io", "ii", "Rn", "gi", "o", "i;")):
+        for at in (0, 1, 9, 18):
+            row = ["i", "iP", "ion"] * 6
+            row.insert(at, wrong)
+            piece = ",".join(row)
+            assert sum(c for _, c in S._repairs("script", kind, piece)) == S._GRAMMARS["script", kind].repair(piece, S.MOST)[0], (kind, piece)
+
+
 def ok(text):
     while True:
         less = text.replace("a", "").replace("()", "").replace("[]", "")
