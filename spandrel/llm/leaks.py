@@ -34,19 +34,28 @@ INDEX_BYTES = 4 << 20  # text of the items that are indexed at once; more take a
 _PREFIX = re.compile(r"(?m)^[ \t]*(?:(?:\[[\d:.,TZ \-/]{3,30}\]|\d{1,2}:\d\d(?::\d\d)?|\d+[.):|])[ \t]+)?(?:[A-Za-z][\w-]{0,15}:[ \t]+)?")
 _ESCAPE = re.compile(r"\\+(?:[nrtbfv\"'/`]|u00[0-9a-fA-F]{2}|x[0-9a-fA-F]{2})|&(?:amp|lt|gt|quot|apos|nbsp|#\d{1,4}|#x[0-9a-fA-F]{1,4});")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff\u0300-\u036f]")
-_GAP = re.compile("[^0-9a-z\x00\x80-\U0010ffff]+")
+_KEPT = bytes(c if c in b"\x000123456789abcdefghijklmnopqrstuvwxyz" or c >= 0x80 else 32 for c in range(256))
+_SPACES = re.compile(b"  +")
 _SOLID = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")  # scripts without spaces: each character is a word
 _WIDE_GAP = re.compile("[\x80-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\xd7\xf7\u2000-\u206f\u3000-\u303f\uff00-\uff0f\ufe30-\ufe4f\ud800-\udfff]")
 
 
 def canonical(text: str) -> str:
     """Words in lower case between single spaces; line prefixes, escapes, punctuation and layout are gone. NUL stays."""
-    if not text.isascii():
-        text = _SOLID.sub(r" \1 ", _WIDE_GAP.sub(" ", _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))))
+    return _spaced(_narrowed(text)).decode("utf-8", "replace")
+
+
+def _narrowed(text: str) -> str:
+    """Compatible forms, without what is seen nowhere; punctuation is a space, and words of one character have them around."""
+    return text if text.isascii() else _SOLID.sub(r" \1 ", _WIDE_GAP.sub(" ", _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))))
+
+
+def _spaced(text: str) -> bytes:
     text = _PREFIX.sub("", text)
     if "\\" in text or "&" in text:
         text = _ESCAPE.sub(" ", text)
-    return _GAP.sub(" ", text.lower())
+    # bytes of wider characters stay as they are
+    return _SPACES.sub(b" ", text.lower().encode("utf-8", "replace").translate(_KEPT))
 
 
 def _grams(raw: np.ndarray, q: int) -> np.ndarray:
@@ -364,8 +373,9 @@ class Searcher:
 
     def search(self, texts: list[str | None]) -> list[tuple[int, str]]:
         """(position in ``texts``, item) of every leak."""
-        whole = canonical("\x00".join(t.replace("\x00", " ") if t and "\x00" in t else t or "" for t in texts).replace("\x00", "\n\x00\n"))
-        doc = _Texts(np.frombuffer(whole.encode("utf-8", "replace"), np.uint8))
+        # each text by itself, as most have no wide characters
+        whole = _spaced("\n\x00\n".join(_narrowed(t.replace("\x00", " ") if "\x00" in t else t) if t else "" for t in texts))
+        doc = _Texts(np.frombuffer(whole, np.uint8))
         found: dict[int, set[str]] = defaultdict(set)
         for q in {g.q for g in self.ix.grams}:
             for grams, (at, left, right) in _hits(doc.raw, [g for g in self.ix.grams if g.q == q]):
@@ -423,7 +433,7 @@ class Searcher:
         i = np.arange(len(mine)) + np.repeat(lows, sizes)
         missed = np.ones(len(mine), bool)
         for n in range(BAND):
-            missed &= doc.hashes[np.clip(i + n, 0, len(doc.hashes) - 1)] != mine
+            missed &= doc.hashes.take(i + n, mode="clip") != mine
         edits, lost = np.concatenate([[0], np.cumsum(missed)]), np.concatenate([[0], np.cumsum(missed & own)])
         out = []
         for (a, z, most), b, at in zip(spans, begins, offset.tolist()):

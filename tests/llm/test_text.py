@@ -239,6 +239,17 @@ def corpus(rng, n):
     return rows, truth, {a: f"Projects about {', '.join(w[:4])} and {w[4]}." for a, w in areas.items()}
 
 
+def test_wide_characters_of_one_text_leave_the_others_alone(monkeypatch):
+    span = [f"word{i}x" for i in range(30)]
+    ix = L.build_index([("a", [" ".join(span)]), ("b", ["Größe " + " ".join(f"ｗｉｄｅ{i}" for i in range(30))])])
+    texts = ["plain (text), nothing else\n" * 50, None, "", "1. Say:\t" + "\n".join(span).upper(), "x\x00y " + " - ".join(span[:26]), "GRÖSSE gro\u00adße, " + " ".join(f"wide{i}" for i in range(30))]
+    read = []
+    real = L.unicodedata.normalize
+    monkeypatch.setattr(L.unicodedata, "normalize", lambda form, text: read.append(text) or real(form, text))
+    assert sorted(L.Searcher(ix).search(texts)) == [(3, "a"), (4, "a"), (5, "b")]
+    assert read == texts[-1:]
+
+
 def test_subjects_of_held_out_documents(spark):
     rng = random.Random(9)
     rows, truth, described = corpus(rng, 1500)
