@@ -8,6 +8,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,9 @@ SHORT_Q = 8  # of windows that longer q-grams can't tell: any 25 words with 4 ed
 OFTEN = 12  # items that hold a q-gram before windows with few rare ones do without it
 LEAST_GRAMS = 10  # q-grams of Q bytes that a window must be sure to keep
 BAND = 2 * (EDITS + 1)  # word diagonals of a band; bands overlap by half, so that EDITS edits stay inside of one
+HALF = BAND // 2
 BITS = 21
+BUCKETS = 1 << 19  # places where the half bands of an item may begin to be counted
 INDEX_BYTES = 4 << 20  # text of the items that are indexed at once; more take as many passes over the documents
 
 _PREFIX = re.compile(r"(?m)^[ \t]*(?:(?:\[[\d:.,TZ \-/]{3,30}\]|\d{1,2}:\d\d(?::\d\d)?|\d+[.):|])[ \t]+)?(?:[A-Za-z][\w-]{0,15}:[ \t]+)?")
@@ -152,14 +155,27 @@ class Grams:
     """Index of the q-grams of some windows of all texts, and what the windows need of them."""
 
     q: int
-    keys: np.ndarray  # sorted hashes
-    times: np.ndarray  # postings from the first of each hash on
+    keys: np.ndarray  # sorted distinct hashes, and the highest of all
+    first: np.ndarray  # first posting of each hash
+    times: np.ndarray  # its postings
+    bits: np.ndarray  # filter over the upper bits of the hashes
     text: np.ndarray  # text of each posting
     at: np.ndarray  # its byte
     word: np.ndarray  # its word
-    bits: np.ndarray  # filter over the upper bits of the hashes
-    windows: list[tuple[np.ndarray, ...]]  # of each text: first and last byte of a q-gram in each window, q-grams it must keep, its place among _spans
     least: np.ndarray  # fewest that a window with the q-gram of each posting must keep
+    low: np.ndarray  # first window that the q-gram of each posting lies in
+    high: np.ndarray  # end of these
+    last: np.ndarray  # last byte of a q-gram in each window; windows in the order of texts and words
+    kept: np.ndarray  # q-grams it must keep
+    begin: np.ndarray  # its first word
+    end: np.ndarray  # end of its words
+    most: np.ndarray  # own words that may be edited
+
+    @cached_property
+    def slots(self) -> np.ndarray:
+        """First hash by upper bits; made by the worker, as it is larger than the rest."""
+        held = np.bincount((self.keys >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
+        return (np.cumsum(held) - held).astype(np.int32)
 
 
 @dataclass
@@ -170,11 +186,13 @@ class Index:
     words: list[list[str]]
     shared: list[np.ndarray]  # words in 12 words that 3 items hold, or 20 that 2 hold
     own: list[np.ndarray]  # words outside of runs of PHRASE words that SHARED_BY items hold
-    spans: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
-    hashes: list[np.ndarray]  # of each word
+    start: np.ndarray  # the first word of each text among those of all texts, one after the other
+    all_own: np.ndarray  # ``own`` of these
+    hashes: np.ndarray  # of these
     grams: list[Grams]
 
 
+_HIGHEST = np.uint64(2**64 - 1)
 _POWERS = np.cumprod(np.full(1 << 10, 0x9E3779B97F4A7C15, np.uint64))
 _INVERSE = np.cumprod(np.full(1 << 10, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
 
@@ -284,14 +302,21 @@ def build_index(items: list[tuple[str, list[str | None]]], common: list[np.ndarr
         if not len(keys):
             continue
         order = np.argsort(keys, kind="stable")
+        text = np.repeat(np.arange(len(rows), dtype=np.int32), [len(k) for k, *_ in rows])[order]
+        at, word, least = (np.concatenate([r[i] for r in rows]).astype(np.int32)[order] for i in (1, 2, 3))
+        offset = np.cumsum([0, *(len(w[0]) for *_, w in rows)])
+        low, high = (np.concatenate([n + w[i].searchsorted(r[1], side=side) for n, (*r, w) in zip(offset, rows)]).astype(np.int32)[order] for i, side in ((1, "left"), (0, "right")))
+        last, kept = (np.concatenate([w[i] for *_, w in rows]) for i in (1, 2))
+        begin, end, most = (np.concatenate([s[i][w[3]] for s, (*_, w) in zip(spans, rows)]) for i in range(3))
+        keys, times = np.unique(keys, return_counts=True)
+        first = np.cumsum(times) - times
+        if keys[-1] != _HIGHEST:
+            keys, first, times = np.append(keys, _HIGHEST), np.append(first, 0), np.append(times, 0)
         bits = np.zeros(1 << BITS, bool)
         bits[(keys >> np.uint64(64 - BITS)).astype(np.int64)] = True
-        text = np.repeat(np.arange(len(rows), dtype=np.int32), [len(k) for k, *_ in rows])
-        at, word, least = (np.concatenate([r[i] for r in rows]).astype(np.int32)[order] for i in (1, 2, 3))
-        keys = keys[order]
-        times = np.searchsorted(keys, keys, side="right") - np.arange(len(keys))
-        grams.append(Grams(q, keys, times, text[order], at, word, bits, [w for *_, w in rows], least))
-    return Index([n for n, _ in texts], words, shared, own, spans, hashes, grams)
+        grams.append(Grams(q, keys, first.astype(np.int32), times.astype(np.int32), bits, text, at, word, least, low, high, last, kept, begin, end, most))
+    start = np.cumsum([0, *map(len, words)])
+    return Index([n for n, _ in texts], words, shared, own, start, np.concatenate([*own, np.zeros(0, bool)]), np.concatenate([*hashes, np.zeros(0, np.uint64)]), grams)
 
 
 def _held(doc: list[str], item: list[str], own: list[bool], free: list[bool], a: int, low: int) -> bool:
@@ -370,6 +395,9 @@ class Searcher:
         self.ix = index
         self.base = max(map(len, index.words), default=0) // BAND * BAND + BAND  # keeps diagonals positive
         self.lists: dict[int, tuple[list[bool], list[bool]]] = {}  # own and free words of the items looked at
+        # half bands of a text are counted from a place of its own on
+        place = (np.arange(len(index.items), dtype=np.int64) * 0x9E3779B1 >> 7) % BUCKETS * HALF + self.base
+        self.places = [(place[g.text] - g.word).astype(np.int32) for g in index.grams]
 
     def search(self, texts: list[str | None]) -> list[tuple[int, str]]:
         """(position in ``texts``, item) of every leak."""
@@ -377,69 +405,87 @@ class Searcher:
         whole = _spaced("\n\x00\n".join(_narrowed(t.replace("\x00", " ") if "\x00" in t else t) if t else "" for t in texts))
         doc = _Texts(np.frombuffer(whole, np.uint8))
         found: dict[int, set[str]] = defaultdict(set)
+        word_at = np.append(np.int32(0), np.cumsum(doc.raw == 32, dtype=np.int32))  # a space belongs to the word before
         for q in {g.q for g in self.ix.grams}:
-            for grams, (at, left, right) in _hits(doc.raw, [g for g in self.ix.grams if g.q == q]):
-                reps = right - left
-                word = np.repeat(np.searchsorted(doc.spaces, at), reps)
-                if len(word):
-                    post = np.repeat(left - np.cumsum(reps) + reps, reps) + np.arange(len(word))
-                    for shift in (0, BAND // 2):
-                        self._bands(doc, grams, word, post, shift, found)
+            tiers = [n for n, g in enumerate(self.ix.grams) if g.q == q]
+            for n, (at, key) in zip(tiers, _hits(doc.raw, [self.ix.grams[n] for n in tiers])):
+                word, post = self._near(self.ix.grams[n], self.places[n], word_at[at], key)
+                for shift in (0, HALF):
+                    self._bands(doc, self.ix.grams[n], word, post, shift, found)
         return [(d, name) for d, names in found.items() for name in sorted(names)]
 
+    def _near(self, grams: Grams, places: np.ndarray, word: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Word and posting of the q-grams ``key`` at ``word`` that may have enough others in their band."""
+        reps = grams.times[key]
+        word = np.repeat(word, reps)
+        post = np.repeat(grams.first[key] - np.cumsum(reps) + reps, reps) + np.arange(len(word))
+        # a band is two half bands side by side; texts may meet in a place, so counts never fall short
+        half = (word + places[post]) // np.int32(HALF)
+        count = np.bincount(half, minlength=1)
+        beside = np.append(0, count[:-1])
+        np.maximum(beside[:-1], count[1:], out=beside[:-1])
+        keep = np.nonzero((count + beside)[half] >= grams.least[post])[0]
+        return word[keep], post[keep]
+
     def _bands(self, doc: _Texts, grams: Grams, word: np.ndarray, post: np.ndarray, shift: int, found: dict[int, set[str]]) -> None:
         """Count the q-grams that a document and an item share in each band, and look at those that may hold a window."""
         bands = (len(doc.spaces) + self.base) // BAND + 2
-        key = grams.text[post].astype(np.int64) * bands + (word - grams.word[post] + (self.base + shift)) // BAND
-        # hashed counts never fall short, so most postings go before anything is sorted
-        bucket = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(45)).astype(np.int64)
-        least = grams.least[post]
-        keep = np.nonzero(np.bincount(bucket, minlength=1 << 19)[bucket] >= least)[0]
-        k, at, d, least = key[keep], grams.at[post[keep]], np.searchsorted(doc.ends, word[keep]), least[keep]
+        k = grams.text[post].astype(np.int64) * bands + (word - grams.word[post] + (self.base + shift)) // BAND
+        d, at = np.searchsorted(doc.ends, word), grams.at[post]
         order = np.lexsort((at, d, k))
-        k, at, d, least = k[order], at[order], d[order], least[order]
+        k, d, at, post = k[order], d[order], at[order], post[order]
         new = np.ones(len(k), bool)
         new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
         once = new.copy()
         once[1:] |= at[1:] != at[:-1]  # a q-gram of the item counts once
-        k, at, d, new, least = k[once], at[once], d[once], new[once], least[once]
+        k, d, at, post, new = k[once], d[once], at[once], post[once], new[once]
+        if not len(k):
+            return
+        row = np.cumsum(new) - 1
         first = np.nonzero(new)[0]
-        size = np.diff(np.append(first, len(k)))
-        able = least <= np.repeat(size, size)  # q-grams of windows that the band has enough of
-        enough = np.nonzero(np.add.reduceat(able, first, dtype=np.int64) >= np.minimum.reduceat(least, first))[0] if len(first) else first
-        # spans whose windows share as many q-grams as they are sure to keep
-        rows: list[tuple[int, int, int, np.ndarray]] = []  # text, document, lowest diagonal, places among its spans
-        for f, n in zip(first[enough].tolist(), size[enough].tolist()):
-            t = int(k[f] // bands)
-            lo, hi, least, place = grams.windows[t]
-            here = at[f : f + n]
-            shares = here.searchsorted(hi, side="right") - here.searchsorted(lo) >= least
-            if shares.any():
-                rows.append((t, int(d[f]), int(k[f] % bands) * BAND - self.base - shift, place[shares]))
-        for (t, n, low, _), starts in zip(rows, self._matched(doc, rows)):
-            if len(starts) and self.ix.items[t] not in found[n] and self._verify(doc, t, n, low, starts):
-                found[n].add(self.ix.items[t])
-
-    def _matched(self, doc: _Texts, rows: list[tuple[int, int, int, np.ndarray]]) -> list[np.ndarray]:
-        """First words of the spans of each row that are left, as item words that the band has nowhere are edits for certain."""
-        if not rows:
-            return []
-        spans = [tuple(x[places] for x in self.ix.spans[t]) for t, _, _, places in rows]
-        begins, sizes = [int(s[0]) for s, _, _ in spans], [int(z[-1] - s[0]) for s, z, _ in spans]
-        mine = np.concatenate([self.ix.hashes[t][b : b + n] for (t, *_), b, n in zip(rows, begins, sizes)])
-        own = np.concatenate([self.ix.own[t][b : b + n] for (t, *_), b, n in zip(rows, begins, sizes)])
-        offset = np.cumsum([0, *sizes])
-        lows = np.array([low + b for (_, _, low, _), b in zip(rows, begins)]) - offset[:-1]
-        i = np.arange(len(mine)) + np.repeat(lows, sizes)
+        stop = np.append(first[1:], len(k))[row]
+        # windows whose first q-gram in the band is this one, and that share as many as they are sure to keep
+        low, high = grams.low[post], grams.high[post]
+        low[1:] = np.where(new[1:], low[1:], np.maximum(low[1:], high[:-1]))
+        reach = np.arange(len(k)) + grams.least[post] - 1
+        able = np.nonzero((reach < stop) & (low < high) & (at.take(reach, mode="clip") <= grams.last[high - 1]))[0]
+        reps = (high - low)[able]
+        window = np.repeat(low[able] - np.cumsum(reps) + reps, reps) + np.arange(reps.sum())
+        by = np.repeat(able, reps)
+        reach = by + grams.kept[window] - 1
+        shares = (reach < stop[by]) & (at.take(reach, mode="clip") <= grams.last[window])
+        window, row = window[shares], row[by[shares]]
+        # by band, from here on: text, document, lowest diagonal
+        row, part = np.unique(row, return_inverse=True)
+        text, n, low = k[first[row]] // bands, d[first[row]], k[first[row]] % bands * BAND - self.base - shift
+        left = self._matched(doc, grams, text, low, window, part)
+        window, part = window[left], part[left]
+        for r, starts in zip(*_grouped(part, grams.begin[window])):
+            t, d = int(text[r]), int(n[r])
+            if self.ix.items[t] not in found[d] and self._verify(doc, t, d, int(low[r]), starts):
+                found[d].add(self.ix.items[t])
+
+    def _matched(self, doc: _Texts, grams: Grams, text: np.ndarray, low: np.ndarray, window: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """Places of the windows that are left, as item words that the band has nowhere are edits for certain.
+
+        ``part`` is the band of each window, ascending; ``text`` and ``low`` are those of each band.
+        """
+        if not len(window):
+            return window
+        a, z = grams.begin[window], grams.end[window]
+        new = np.append(True, part[1:] != part[:-1])
+        begin, sizes = a[new], z[np.append(new[1:], True)] - a[new]
+        offset = np.cumsum(sizes) - sizes
+        at = np.arange(sizes.sum())
+        mine = at + np.repeat(self.ix.start[text] + begin - offset, sizes)
+        theirs = at + np.repeat(low + begin - offset, sizes)
+        hashes, own = self.ix.hashes[mine], self.ix.all_own[mine]
         missed = np.ones(len(mine), bool)
         for n in range(BAND):
-            missed &= doc.hashes.take(i + n, mode="clip") != mine
-        edits, lost = np.concatenate([[0], np.cumsum(missed)]), np.concatenate([[0], np.cumsum(missed & own)])
-        out = []
-        for (a, z, most), b, at in zip(spans, begins, offset.tolist()):
-            s, e = a - b + at, z - b + at
-            out.append(a[(edits[e] - edits[s] <= EDITS) & (lost[e] - lost[s] <= most) & ~missed[s]])
-        return out
+            missed &= doc.hashes.take(theirs + n, mode="clip") != hashes
+        edits, lost = np.append(0, np.cumsum(missed)), np.append(0, np.cumsum(missed & own))
+        s, e = a + (offset - begin)[part], z + (offset - begin)[part]
+        return np.nonzero((edits[e] - edits[s] <= EDITS) & (lost[e] - lost[s] <= grams.most[window]) & ~missed[s])[0]
 
     def _verify(self, doc: _Texts, text: int, n: int, low: int, starts: np.ndarray) -> bool:
         """Whether document ``n`` holds a leak from one of the item's words ``starts`` on in the band from diagonal ``low`` on."""
@@ -462,20 +508,29 @@ class Searcher:
         return False
 
 
-def _hits(raw: np.ndarray, every: list[Grams]) -> Iterator[tuple[Grams, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """Places whose q-gram is in each index (of one q), and its range of postings."""
+def _grouped(part: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct numbers of the ascending ``part``, and the values of each."""
+    parts, first = np.unique(part, return_index=True)
+    return parts, np.split(values, first[1:])
+
+
+def _hits(raw: np.ndarray, every: list[Grams]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places whose q-gram is in each index (of one q), and its place among the index's hashes."""
     q, spots = every[0].q, [[] for _ in every]
     for lo in range(0, max(1, len(raw) - q + 1), 1 << 18):  # in blocks, so that a long text takes bounded memory
         h = _grams(raw[lo : lo + (1 << 18) + q - 1], q)
         upper = (h >> np.uint64(64 - BITS)).astype(np.int64)
         for grams, out in zip(every, spots):
             maybe = np.nonzero(grams.bits[upper])[0]
-            left = np.searchsorted(grams.keys, h[maybe])
-            hit = grams.keys[np.minimum(left, len(grams.keys) - 1)] == h[maybe]
-            at, left = maybe[hit], left[hit]
-            out.append((at + lo, left, left + grams.times[left]))
-    for grams, out in zip(every, spots):
-        yield grams, tuple(np.concatenate(x) for x in zip(*out))
+            some, key = h[maybe], grams.slots[upper[maybe]]
+            lower = np.nonzero(grams.keys[key] < some)[0]
+            while len(lower):  # few hashes have the same upper bits
+                key[lower] += 1
+                lower = lower[grams.keys[key[lower]] < some[lower]]
+            hit = grams.keys[key] == some
+            out.append((maybe[hit] + lo, key[hit]))
+    for out in spots:
+        yield tuple(np.concatenate(x) for x in zip(*out))
 
 
 def leaked(documents: DataFrame, instances: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:

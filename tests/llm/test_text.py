@@ -2,6 +2,7 @@
 
 import base64
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -194,6 +195,25 @@ def test_filters_lose_nothing_against_brute_force(seed):
     assert leaks_of(items, docs) == brute(items, docs)
 
 
+def test_near_misses_are_told_together():
+    item = [f"longerword{i}x" if i % 2 else f"s{i}" for i in range(60)]
+    near = ["zz" if i % 4 == 0 else w for i, w in enumerate(item)]  # keeps the q-grams that 4 edits may leave, but has more edits
+    ix = L.build_index([("a", [" ".join(item)])])
+
+    def calls(n):
+        texts, seen, before = [" ".join((near + ["filler"] * 30) * n), " ".join(item)], [], sys.getprofile()
+        searcher = L.Searcher(ix)
+        sys.setprofile(lambda frame, event, arg: seen.append(event))
+        try:
+            got = searcher.search(texts)
+        finally:
+            sys.setprofile(before)
+        assert got == [(1, "a")]
+        return len(seen)
+
+    assert calls(200) < calls(2) + 200
+
+
 def test_leaks_in_scripts_without_spaces():
     rng = random.Random(4)
     han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
