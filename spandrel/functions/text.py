@@ -22,8 +22,9 @@ def tokens(text: Column) -> Column:
     def parts(w: Column) -> Column:
         camel = F.filter(F.regexp_extract_all(w, F.lit(CAMEL), F.lit(1)), lambda p: F.length(p) > 1)
         snake = F.filter(F.split(F.lower(w), "_"), lambda p: F.length(p) > 1)
-        several = lambda a: F.when(F.size(a) > 1, F.transform(a, F.lower)).otherwise(F.array().cast("array<string>"))
-        return F.concat(F.array(F.lower(w)), several(camel), several(snake))
+        several = F.transform(F.array(camel, snake), lambda a: F.when(F.size(a) > 1, F.transform(a, F.lower)).otherwise(F.array().cast("array<string>")))
+        plain = (F.lower(w) == w) & ~F.contains(w, F.lit("_"))  # one part by either
+        return F.when(plain, F.array(w)).otherwise(F.concat(F.array(F.lower(w)), F.flatten(several)))
 
     return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(1)), parts))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +25,14 @@ class Corpus:
     entities: DataFrame
     edges: DataFrame
     queries: DataFrame
+    kept: dict[Callable[[Corpus], DataFrame], DataFrame] = field(default_factory=dict, repr=False, compare=False)
+
+    def once(self, arm: Callable[[Corpus], DataFrame]) -> DataFrame:
+        """An arm's ranking; arms that others are fused from run once."""
+        if arm not in self.kept:
+            got = arm(self)
+            self.kept[arm] = Scratch(self.queries.sparkSession).keep(got.select(*(c for c in ("space", "query", "doc", "rank") if c in got.columns)))
+        return self.kept[arm]
 
 
 def _in_space(scores: DataFrame, c: Corpus) -> DataFrame:
@@ -39,7 +47,7 @@ def control(c: Corpus) -> DataFrame:
 
 
 def lexical(c: Corpus) -> DataFrame:
-    return R.bm25(c.queries, R.file_postings(c.files))
+    return R.bm25(c.queries, R.file_terms(c.files))
 
 
 def mapped(c: Corpus) -> DataFrame:
@@ -47,18 +55,18 @@ def mapped(c: Corpus) -> DataFrame:
 
 
 def walked(c: Corpus, rounds: int = 2, seed_top: int = R.SEED_TOP) -> DataFrame:
-    parts = R.bm25_terms(c.queries, R.entity_postings(nodes_of(c.entities), F.split("path", "/")[0]))
-    final = R.coactivation(R.spread(R.rare_boost(parts), links_of(c.edges), rounds, seed_top))
+    parts = R.bm25_terms(c.queries, R.entity_terms(nodes_of(c.entities), F.split("path", "/")[0]))
+    final = R.coactivation(R.spread(R.rare_boost(parts), links_of(c.edges), rounds, seed_top, own=True))
     by_file = final.groupBy("query", F.split("node", "::", 2)[0].alias("doc")).agg(F.sum("score").alias("score"))
     return _in_space(by_file.filter(~is_test_path(F.col("doc"))), c)
 
 
 def hybrid(c: Corpus) -> DataFrame:
-    return R.fuse(lexical(c), mapped(c))
+    return R.fuse(c.once(lexical), c.once(mapped))
 
 
 def hybrid_walk(c: Corpus) -> DataFrame:
-    return R.fuse(lexical(c), walked(c))
+    return R.fuse(c.once(lexical), c.once(walked))
 
 
 ARMS: dict[str, Callable[[Corpus], DataFrame]] = {"control": control, "bm25": lexical, "map": mapped, "walk": walked, "hybrid": hybrid, "hybrid_walk": hybrid_walk}
@@ -74,9 +82,10 @@ def run(c: Corpus, truth: DataFrame, names: Iterable[str] = tuple(ARMS), ks: tup
         raise ValueError("two arms or more are needed" if len(names) < 2 else f"unknown arms: {', '.join(sorted(unknown))}")
     seen = Corpus(c.files, c.entities, c.edges, c.queries.select("space", "query", "text"))
     scratch = Scratch(truth.sparkSession)
+    truth = scratch.keep(truth.select("query", "doc").distinct())
     out = None
     for name in names:
-        scored = E.score_rankings(scratch.keep(arms[name](seen).select("query", "doc", "rank")), truth, ks).withColumn("arm", F.lit(name))
+        scored = E.score_rankings(seen.once(arms[name]).select("query", "doc", "rank"), truth, ks).withColumn("arm", F.lit(name))
         out = scored if out is None else out.unionByName(scored)
     return scratch.keep(out)
 

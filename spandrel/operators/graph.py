@@ -248,10 +248,14 @@ def tree(nodes: DataFrame) -> DataFrame:
     return nodes.filter(~F.col("name").isin(*SCOPES)).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "name", "kind"))).alias("entities"))
 
 
+def kind_weight(kind: Column) -> Column:
+    """How much of a score an edge of a kind passes on."""
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in KIND_WEIGHTS.items() for x in kv)), kind), F.lit(OTHER_KIND))
+
+
 def adjacency(links: DataFrame) -> DataFrame:
     """node, next, weight, degree: resolved links both ways, weighted by kind; self-links are left out."""
-    weight = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in KIND_WEIGHTS.items() for x in kv)), F.col("kind")), F.lit(OTHER_KIND))
-    rel = links.filter("dst_path is not null and dst_name is not null").select(node_key(F.col("src_path"), F.col("src_name")).alias("a"), node_key(F.col("dst_path"), F.col("dst_name")).alias("b"), weight.alias("w")).filter("a <> b")
+    rel = links.filter("dst_path is not null and dst_name is not null").select(node_key(F.col("src_path"), F.col("src_name")).alias("a"), node_key(F.col("dst_path"), F.col("dst_name")).alias("b"), kind_weight(F.col("kind")).alias("w")).filter("a <> b")
     both = rel.select(F.col("a").alias("node"), F.col("b").alias("next"), F.col("w").alias("weight")).unionByName(rel.select(F.col("b").alias("node"), F.col("a").alias("next"), (F.col("w") * BACKWARDS).alias("weight")))
     degree = both.groupBy("node").agg(F.count("*").alias("degree"))
     return both.join(degree, "node")

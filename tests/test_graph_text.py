@@ -174,3 +174,75 @@ def test_arms_side_by_side(spark):
     assert len(tuned) == 2 and tuned[0].value == 1.0 and len(tuned[0].fingerprint) == 12
     with pytest.raises(ValueError, match="reporting"):
         A.tune(c, truth, configs, dataset="final", reporting=frozenset({"final"}))
+
+
+def plain_spread(start, links, rounds, top):
+    """``R.spread`` in loops: links are (a, b, kind)."""
+    near, state, spent = defaultdict(list), {(q, d): (s, m) for q, d, s, m in start}, set()
+    for a, b, kind in links:
+        if a != b:
+            near[a].append((b, G.KIND_WEIGHTS.get(kind, G.OTHER_KIND)))
+            near[b].append((a, G.KIND_WEIGHTS.get(kind, G.OTHER_KIND) * G.BACKWARDS))
+    for _ in range(rounds):
+        front = {}
+        for q in {q for q, _ in state}:
+            fresh = sorted((-s, d, m) for (x, d), (s, m) in state.items() if x == q and (q, d) not in spent)[:top]
+            front |= {(q, d): (-s, m) for s, d, m in fresh}
+        spent |= set(front)
+        for (q, d), (s, m) in front.items():
+            for to, w in near[d]:
+                gain, (path, name) = s * R.DAMPING / len(near[d]) * w, to.split("::")
+                if gain > 1e-9 and name not in G.SCOPES and not path.rpartition("/")[2].startswith("test_"):
+                    had = state.get((q, to), (0.0, 0))
+                    state[q, to] = (had[0] + gain, had[1] | m)
+    return state
+
+
+@pytest.fixture(scope="module")
+def hubs(spark):
+    """Links with hubs that half of all nodes lead to, several links between two nodes, files and tests; starts of 5 queries in 3 spaces."""
+    rng = random.Random(8)
+    nodes = [(f"{s}/m{i % 5}.py", f"f{i}") for s in "abc" for i in range(40)] + [("kit/log.py", "emit"), ("kit/log.py", "<module>"), ("a/test_m.py", "t")]
+    rows = [(*rng.choice(nodes), rng.choice(["calls", "reads", "odd", None]), *(rng.choice(nodes[-3:]) if rng.random() < 0.5 else rng.choice(nodes)), None, 1) for _ in range(900)]
+    links = [(f"{r[0]}::{r[1]}", f"{r[3]}::{r[4]}", r[2]) for r in rows]
+    start = [(space, f"q{n}", f"{p}::{f}", rng.random() * 9, rng.randrange(1, 99)) for n, space in enumerate("aabbc") for p, f in rng.sample([x for x in nodes if x[0].startswith(f"{space}/m")], 15)]
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], LINK), links, spark.createDataFrame(start, "space string, query string, doc string, score double, mask long"), start
+
+
+@pytest.mark.parametrize(("at_once", "rounds", "top", "own"), [(3, 2, 6, False), (1000, 2, 6, True), (1000, 3, 200, False)])
+def test_spread_against_loops_and_in_the_own_space(spark, hubs, monkeypatch, at_once, rounds, top, own):
+    links, pairs, start, rows = hubs
+    monkeypatch.setattr(R, "QUERIES_SPREAD", at_once)
+    space = {r[1]: r[0] for r in rows}
+    want = {k: v for k, v in plain_spread([r[1:] for r in rows], pairs, rounds, top).items() if not own or k[1].startswith(space[k[0]] + "/")}
+    got = {(r.query, r.node): r for r in R.spread(start, links, rounds, top, own=own).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(r.score - want[k][0]) < 1e-9 and r.mask == want[k][1] and r.reached == bin(r.mask).count("1") for k, r in got.items())
+
+
+def test_spread_of_nothing_and_over_nothing(hubs):
+    links, _, start, rows = hubs
+    assert R.spread(start.limit(0), links, 1).count() == 0 and R.spread(start, links.limit(0), 1).count() == len(rows)
+
+
+@pytest.mark.parametrize("asked", [0, 200_000])
+def test_bm25_over_terms_is_that_over_postings(spark, monkeypatch, asked):
+    monkeypatch.setattr(R, "ASKED", asked)
+    docs = [("r", "a", "get_it getIt x"), ("r", "b", "it is other"), ("r", "b", "twice it"), ("r", "empty", ""), ("r", "null", None), ("s", "a", "getIt there"), ("t", "z", "no one asks")]
+    df = spark.createDataFrame(docs, "space string, doc string, text string").select("space", "doc", T.tokens(T.F.col("text")).alias("terms"))
+    queries = spark.createDataFrame([("r", "1", "get getIt other"), ("r", "2", "get"), ("s", "3", "there none"), ("u", "4", "get"), ("r", "5", None)], "space string, query string, text string")
+    parts = lambda d: {(r.space, r.query, r.doc, r.term): (r.df, round(r.weight, 12), round(r.part, 12)) for r in R.bm25_terms(queries, d).collect()}
+    assert parts(df) == parts(R.postings(df, T.F.col("terms"))) and len(parts(df)) > 4
+
+
+def test_arms_that_others_are_fused_from_run_once(spark, monkeypatch):
+    from spandrel.operators import arms as A
+
+    files = spark.createDataFrame([("r", "r/a.py", "def one_two(): pass"), ("r", "r/b.py", "one")], "repo string, path string, content string")
+    ents = spark.createDataFrame([("r/a.py", "one_two", "function", 1, "", "none", None)], "path string, name string, kind string, line int, meta string, doc_kind string, removed_at timestamp")
+    edges = spark.createDataFrame([(1, "r/b.py", "<module>", "calls", "r/a.py", "one_two", None, 1, "ok")], LINK + ", status string")
+    runs = Counter()
+    for name in ("bm25", "map_arm", "spread"):
+        monkeypatch.setattr(R, name, lambda *a, f=getattr(R, name), n=name, **k: (runs.update([n]), f(*a, **k))[1])
+    A.run(A.Corpus(files, ents, edges, spark.createDataFrame([("r", "q", "`one_two` fails")], "space string, query string, text string")), spark.createDataFrame([("q", "r/a.py")], "query string, doc string"), ks=(1,))
+    assert runs == {"bm25": 1, "map_arm": 1, "spread": 1}
