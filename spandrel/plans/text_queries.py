@@ -110,8 +110,8 @@ def t_map_arm(spark: SparkSession, d: str) -> DataFrame:
 def t_spread(spark: SparkSession, d: str) -> DataFrame:
     """Entities by activation that spreads along the graph from the terms of the instances."""
     nodes = G.nodes_of(table(spark, d, "entities"))
-    posts = R.entity_postings(nodes, F.split("path", "/")[0])
-    return R.coactivation(R.spread(R.rare_boost(R.bm25_terms(_queries(spark, d), posts)), G.links_of(table(spark, d, "edges"))))
+    terms = R.entity_terms(nodes, F.split("path", "/")[0])
+    return R.coactivation(R.spread(R.rare_boost(R.bm25_terms(_queries(spark, d), terms)), G.links_of(table(spark, d, "edges"))))
 
 
 def t_control(spark: SparkSession, d: str) -> DataFrame:

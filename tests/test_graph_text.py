@@ -225,6 +225,13 @@ def test_spread_of_nothing_and_over_nothing(hubs):
     assert R.spread(start.limit(0), links, 1).count() == 0 and R.spread(start, links.limit(0), 1).count() == len(rows)
 
 
+def test_spread_shuffles_links_and_not_products(hubs):
+    """What the workers give is the result: no exchange or aggregate lies over it."""
+    links, _, start, _ = hubs
+    plan = R.spread(start, links)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Aggregate" not in plan.partition("MapInArrow")[0] and "Repartition" not in plan.partition("MapInArrow")[0]
+
+
 @pytest.mark.parametrize("asked", [0, 200_000])
 def test_bm25_over_terms_is_that_over_postings(spark, monkeypatch, asked):
     monkeypatch.setattr(R, "ASKED", asked)
