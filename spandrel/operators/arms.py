@@ -82,12 +82,14 @@ def run(c: Corpus, truth: DataFrame, names: Iterable[str] = tuple(ARMS), ks: tup
         raise ValueError("two arms or more are needed" if len(names) < 2 else f"unknown arms: {', '.join(sorted(unknown))}")
     seen = Corpus(c.files, c.entities, c.edges, c.queries.select("space", "query", "text"))
     scratch = Scratch(truth.sparkSession)
-    truth = scratch.keep(truth.select("query", "doc").distinct())
-    out = None
+    every = None
     for name in names:
-        scored = E.score_rankings(seen.once(arms[name]).select("query", "doc", "rank"), truth, ks).withColumn("arm", F.lit(name))
-        out = scored if out is None else out.unionByName(scored)
-    return scratch.keep(out)
+        own = seen.once(arms[name]).select(F.struct(F.lit(name).alias("arm"), "query").alias("query"), "doc", "rank")
+        every = own if every is None else every.unionByName(own)
+    # all arms are scored in one plan, each query once an arm
+    gold = scratch.keep(truth.select("query", "doc").distinct()).withColumn("arm", F.explode(F.array(*map(F.lit, names))))
+    scored = E.score_rankings(every, gold.select(F.struct("arm", "query").alias("query"), "doc"), ks)
+    return scratch.keep(scored.select("query.query", *(F.col(f"`{c}`") for c in scored.columns if c != "query"), F.col("query.arm").alias("arm")))
 
 
 def grid(**values: Iterable) -> list[dict]:
